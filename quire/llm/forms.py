@@ -37,6 +37,7 @@ JOINERS = "‌‍"
 LOOK_ALIKES = """
 a а .  c с .  d ԁ .  e е .  h һ .  i і .  j ј .  o о ο  p р .  q ԛ .  s ѕ .  v ѵ .  w ԝ .  x х .  y у .
 A А Α  B В Β  C С .  E Е Ε  H Н Η  I І Ι  J Ј .  K К Κ  M М Μ  N . Ν  O О Ο  P Р Ρ  S Ѕ .  T Т Τ  X Х Χ  Y Ү Υ  Z . Ζ
+ë ё .  Ë Ё .  ï ї .  Ï Ї Ϊ  ó . ό
 """
 LATIN, CYRILLIC, GREEK = 1, 2, 3
 
@@ -254,8 +255,8 @@ def canonical(array: pa.Array, markup: bool = False) -> pa.Array:
         at = np.flatnonzero(size_of[cp] >= 0)
         cp, rows = _rewrite(cp, rows, at, np.ones(len(at), np.int64), first[cp[at]], size_of[cp[at]], codes)
         cp, rows = _joiners(cp, rows)
+        cp = _scripts(cp, rows)  # before marks join their letters, so that a letter and its mark become one script's character
         cp, rows = _compose(cp, rows)
-        cp = _scripts(cp, rows)
         new = V.to_array(cp, rows)
         changed = pc.not_equal(new, some)
         new = pc.if_else(changed, new, pa.scalar(None, pa.large_string()))

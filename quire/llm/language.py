@@ -33,7 +33,7 @@ from quire.plans import read_table, spread
 #: Labelled rows that a model is fitted on at most (those of the smallest keys), n-gram lengths, hashed features.
 FIT_ROWS, NGRAMS, FEATURES = 20_000, (1, 2, 3, 4), 1 << 15
 #: Centroids of a language, and width of the projection.
-CLUSTERS, PROJECTION = 3, 32
+CLUSTERS, PROJECTION = 3, 24
 #: Words remembered by a worker.
 KEEP = 150_000
 #: A sentence is rejected below this share of the least cosine that a training sentence has with its own language.
@@ -115,8 +115,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     return Model(names, np.asarray(of), (np.concatenate(centroids).T * idf[:, None]).astype(np.float32), idf, min(least))
 
 
+_tables: dict[str, np.ndarray] = {}
+
+
 def _flags(cp: np.ndarray, characters: str) -> np.ndarray:
-    return np.isin(cp, np.array([ord(c) for c in characters], np.uint32))
+    if characters not in _tables:
+        _tables[characters] = np.zeros(0x110000, bool)
+        _tables[characters][[ord(c) for c in characters]] = True
+    return _tables[characters][cp]
 
 
 _upper: list[np.ndarray] = []
@@ -262,7 +268,7 @@ def _detect(model: Model, scorer: Scorer, part: pa.Array) -> pa.Array:
     code, scores = scorer.words(text, ws, we)
     unit = np.searchsorted(start, ws, "right") - 1
     some, first = np.unique(unit, return_index=True)
-    sums = np.add.reduceat(scores[code], first, axis=0)
+    sums = np.stack([np.add.reduceat(column[code], first) for column in np.ascontiguousarray(scores.T)], axis=1)
     prose = ~_not_prose(text, start, end)[some]
     start, end = start[some], end[some]
     row = text.row_of(start)
@@ -335,7 +341,8 @@ def detect_languages(df: DataFrame, samples: DataFrame, text: str = "text", into
             parts = [_detect(model.value, _scorers[key], part) for _, part in V.slices(batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], _arrow())
 
-    return df.withColumn(into, detect(F.col(text)))
+    # not deterministic in name only: the optimizer must not run it once more for each use of the result
+    return df.withColumn(into, detect.asNondeterministic()(F.col(text)))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

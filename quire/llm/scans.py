@@ -37,6 +37,8 @@ from quire.plans import read_table, spread, staged
 
 #: Pages that the editor is trained on at most (those of the smallest hash), and rounds.
 FIT_PAGES, ROUNDS = 600, 3
+#: Alternatives of an unknown word that are looked up.
+VARIANTS = 8
 #: Lines at either edge of a page that can be furniture.
 EDGE = 2
 #: Mentions that make a hyphenated word one of the texts' own; pages that make a shape known.
@@ -232,6 +234,21 @@ class Editor:
                 score[op] += w
         return max(score, key=lambda op: (score[op], op == "", op))
 
+    def variants(self, word: str, many: int = VARIANTS) -> list[str]:
+        """The best words that differ from ``word`` by one change, or by two at neighbouring characters."""
+        best: list[tuple[float, str]] = []
+        for i, c in enumerate(word):
+            score: dict[str, float] = defaultdict(float)
+            for f in self.features(word, i):
+                for op, w in self.weights.get(f, {}).items():
+                    score[op] += w
+            keep = score.pop("", 0.0)
+            best.append(max(((w - keep, "" if op == "\0" else op) for op, w in score.items()), default=(-1e9, c)))
+        found = [(w, word[:i] + op + word[i + 1 :]) for i, (w, op) in enumerate(best)]
+        found += [(best[i][0] + best[i + 1][0], word[:i] + best[i][1] + best[i + 1][1] + word[i + 2 :]) for i in range(len(word) - 1)]
+        found = [x for x in found if x[0] > -1e8 and x[1]]
+        return [self.edit(word)] + [w for _, w in sorted(found, reverse=True)[:many]]
+
     def edit(self, word: str) -> str:
         out = []
         for i, c in enumerate(word):
@@ -311,7 +328,7 @@ def fit(rows: list[tuple[str, str]]) -> Editor:
 # ---- lines and words -------------------------------------------------------------------------------
 
 WORDS = "page_key bigint, line_no int, role int, word string, h bigint, whole bigint"
-WORD, PART, JOINED, COMPOUND, SIGNED = range(5)
+WORD, PART, JOINED, COMPOUND, SIGNED, BARE = range(6)
 
 
 def body_lines(text: str, furniture_: list[int]) -> list[tuple[int, str]]:
@@ -346,6 +363,11 @@ def _line_rows(page: int, text: str, away: list[int], follow: str | None, cut_be
                 for w in words_in(part):
                     if LETTERS.search(w) and not UNSPACED.search(w):
                         rows.append((page, k, WORD if whole is None else PART, w, w, whole))
+        if not cut and tokens and n + 1 < len(lines) and line.rstrip().endswith(tokens[-1]):
+            first = TOKEN.match(lines[n + 1][1])
+            if first and first[0][0].islower() and LETTERS.match(tokens[-1][-1]) and not UNSPACED.search(tokens[-1][-1] + first[0][0]):
+                a, b = words_in(tokens[-1])[-1], words_in(first[0])[0]
+                rows.append((page, k, BARE, f"{a}\n{b}", a + b, None))
         if cut:
             after = lines[n + 1][1] if n + 1 < len(lines) else follow or ""
             first = TOKEN.match(after.lstrip())
@@ -423,11 +445,27 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
         for batch in batches:
             yield pa.array([None if w is None else editor.value.edit(w) for w in batch.to_pylist()], pa.string())
 
-    repairs = strange.groupBy("word").agg(F.count("*").alias("n")).withColumn("mended", edited.asNondeterministic()("word"))
-    repairs = staged(repairs, "repairs")
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, x, k) for w in batch.column(0).to_pylist() for k, x in enumerate(editor.value.variants(w))]
+            words_, found, rank = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(words_, pa.string()), pa.array(found, pa.string()), pa.array(rank, pa.int32()), hashes(list(found))], ["word", "mended", "rank", "h"])
+
+    # words divided without a mark: together known, and one part not
+    unknown = staged(strange.select("page_key", "line_no", "word"), "strange")
+    alone = unknown.select(F.col("word").alias("part")).distinct()
+    bare = words.filter(F.col("role") == BARE).join(known, "h", "left_semi").select("page_key", "line_no", F.split("word", "\n").alias("parts"))
+    bare = bare.select("page_key", "line_no", F.explode("parts").alias("part"), "parts").join(alone, "part", "left_semi").select("page_key", "line_no", "parts").distinct()
+    halves = bare.select("page_key", F.explode(F.array(F.struct("line_no", F.col("parts")[0].alias("word")), F.struct((F.col("line_no") + 1).alias("line_no"), F.col("parts")[1].alias("word")))).alias("x")).select("page_key", "x.*")
+    unknown = unknown.join(halves, ["page_key", "line_no", "word"], "left_anti")
+    # the editor's proposals, and which of them the vocabulary has
+    proposals = staged(unknown.select("word").distinct().mapInArrow(variants, "word string, mended string, rank int, h bigint"), "proposals")
+    good = proposals.join(known, "h", "left_semi").groupBy("word").agg(F.min_by("mended", "rank").alias("known"))
+    repairs = proposals.filter("rank = 0").select("word", "mended").join(good, "word", "left")
     mixed = F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}")
-    bad = repairs.filter((F.col("mended") != F.col("word")) | mixed).select("word")
-    misread = strange.join(bad, "word", "left_semi").select("page_key", "line_no")
+    repairs = repairs.filter(F.col("known").isNotNull() | (F.col("mended") != F.col("word")) | mixed).select("word", F.coalesce("known", "mended").alias("mended"))
+    repairs = staged(repairs, "repairs")
+    misread = unknown.join(repairs, "word", "left_semi").select("page_key", "line_no")
     misread = misread.unionByName(words.filter(F.col("role") == SIGNED).select("page_key", "line_no"))
     cuts = joined.join(compound, ["page_key", "line_no"], "left").withColumn("mended", edited.asNondeterministic()(F.lower("word")))
     capital = F.col("word").rlike(r"\n\p{Lu}")
@@ -437,7 +475,7 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     # a divided word that is damaged: by the part that shows it
     damaged = cuts.filter("cut and not joins").filter(F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}") & F.split("word", "-\n")[0].rlike(r"\d")).select("page_key", "line_no")
     text_lines = misread.unionByName(damaged).distinct().join(away.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti").withColumn("noise", F.lit("misread"))
-    noise = away.unionByName(cuts.filter("cut").select("page_key", "line_no", F.lit("cut_word").alias("noise"))).unionByName(text_lines).distinct()
+    noise = away.unionByName(cuts.filter("cut").select("page_key", "line_no").unionByName(bare.select("page_key", "line_no")).withColumn("noise", F.lit("cut_word"))).unionByName(text_lines).distinct()
     return Scan(noise, body, repairs)
 
 

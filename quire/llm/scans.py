@@ -459,7 +459,7 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     halves = bare.select("page_key", F.explode(F.array(F.struct("line_no", F.col("parts")[0].alias("word")), F.struct((F.col("line_no") + 1).alias("line_no"), F.col("parts")[1].alias("word")))).alias("x")).select("page_key", "x.*")
     unknown = unknown.join(halves, ["page_key", "line_no", "word"], "left_anti")
     # the editor's proposals, and which of them the vocabulary has
-    proposals = staged(unknown.select("word").distinct().mapInArrow(variants, "word string, mended string, rank int, h bigint"), "proposals")
+    proposals = staged(unknown.select("word").distinct().repartition(2 * pages.sparkSession.sparkContext.defaultParallelism).mapInArrow(variants, "word string, mended string, rank int, h bigint"), "proposals")
     good = proposals.join(known, "h", "left_semi").groupBy("word").agg(F.min_by("mended", "rank").alias("known"))
     repairs = proposals.filter("rank = 0").select("word", "mended").join(good, "word", "left")
     mixed = F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}")
@@ -467,11 +467,14 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     repairs = staged(repairs, "repairs")
     misread = unknown.join(repairs, "word", "left_semi").select("page_key", "line_no")
     misread = misread.unionByName(words.filter(F.col("role") == SIGNED).select("page_key", "line_no"))
-    cuts = joined.join(compound, ["page_key", "line_no"], "left").withColumn("mended", edited.asNondeterministic()(F.lower("word")))
+    # the editor is asked only about joins that the vocabulary does not settle
     capital = F.col("word").rlike(r"\n\p{Lu}")
-    by_editor = ~F.col("mended").contains("-")
-    cut = F.when(F.col("joins"), True).when(F.col("stays") | capital, False).otherwise(by_editor | F.col("stays").isNull())
-    cuts = staged(cuts.select("page_key", "line_no", "word", cut.alias("cut"), "joins", F.coalesce("stays", F.lit(False)).alias("stays")), "cuts")
+    open_ = joined.filter("not joins").join(compound, ["page_key", "line_no"], "left")
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    open_ = open_.repartition(2 * cores, "page_key").withColumn("mended", edited.asNondeterministic()(F.lower("word")))
+    cut = F.when(F.col("stays") | capital, False).otherwise(~F.col("mended").contains("-") | F.col("stays").isNull())
+    open_ = open_.select("page_key", "line_no", "word", cut.alias("cut"), "joins")
+    cuts = staged(joined.filter("joins").select("page_key", "line_no", "word", F.lit(True).alias("cut"), "joins").unionByName(open_), "cuts")
     # a divided word that is damaged: by the part that shows it
     damaged = cuts.filter("cut and not joins").filter(F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}") & F.split("word", "-\n")[0].rlike(r"\d")).select("page_key", "line_no")
     text_lines = misread.unionByName(damaged).distinct().join(away.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti").withColumn("noise", F.lit("misread"))

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN = f"quire-{uuid.uuid4().hex}"
 _written: list[tuple[SparkSession, str]] = []
@@ -62,3 +63,16 @@ def _clean() -> None:
             where.getFileSystem(conf).delete(where, True)
         except Exception:  # the session is gone; the folder's owner clears it
             return
+
+
+def bounded_sample(df: DataFrame, rows: int, *by: str, among: int | None = None) -> DataFrame:
+    """At most ``rows`` rows: those whose hash of the columns ``by`` is least.
+
+    The hash's range is cut to the share that is expected to hold them before anything is ordered, so what
+    meets in one place is about ``rows``, whatever the size of ``df`` (``among``: its number of rows, if known).
+    """
+    total = df.count() if among is None else among
+    share = min(1.0, 1.3 * rows / max(1, total) + 1e-9)
+    h = F.xxhash64(*by)
+    limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    return df.withColumn("_h", h).filter(F.col("_h") <= F.lit(limit)).orderBy("_h", *by).limit(rows).drop("_h")

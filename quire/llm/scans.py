@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from quire.llm import vector as V
 from quire.llm.tokens import newest
-from quire.plans import read_table, spread, staged
+from quire.plans import bounded_sample, read_table, spread, staged
 
 #: Pages that the editor is trained on at most (those of the smallest hash), and rounds.
 FIT_PAGES, ROUNDS = 600, 3
@@ -436,7 +436,7 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     lookup = words.filter(F.col("role").isin(JOINED, COMPOUND))
     joined = lookup.filter(F.col("role") == JOINED).join(known.withColumn("yes", F.lit(True)), "h", "left").select("page_key", "line_no", "word", F.col("yes").isNotNull().alias("joins"))
     compound = lookup.filter(F.col("role") == COMPOUND).join(own.withColumnRenamed("whole", "h"), "h", "left_semi").select("page_key", "line_no", F.lit(True).alias("stays"))
-    sample = pages.select("page_key", "doc_id", F.col("text").alias("page")).orderBy(F.xxhash64("page_key"), "page_key").limit(FIT_PAGES)
+    sample = bounded_sample(pages.select("page_key", "doc_id", F.col("text").alias("page")), FIT_PAGES, "page_key")
     rows = sample.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id").groupBy("page_key").agg(F.first("page").alias("page"), F.max("doc").alias("doc")).orderBy("page_key").collect()
     editor = pages.sparkSession.sparkContext.broadcast(fit([(r["page"], r["doc"]) for r in rows if r["doc"]]))
 

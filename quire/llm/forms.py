@@ -81,6 +81,17 @@ def compose_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, np.asarray([pairs[int(k)] for k in keys], np.uint32), ccc
 
 
+@lru_cache(1)
+def split_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first, size, codes of the full decomposition of each composite (size 0: none)."""
+    first, size, codes = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32), []
+    for c in compose_table()[1]:
+        parts = unicodedata.normalize("NFD", chr(c))
+        first[c], size[c] = len(codes), len(parts)
+        codes.extend(map(ord, parts))
+    return first, size, np.asarray(codes or [0], np.uint32)
+
+
 @lru_cache(1)
 def script_tables() -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """The script of each letter that has no look-alike (8 + script of one that has), and maps into each script."""
@@ -161,6 +172,11 @@ def _joiners(cp: np.ndarray, rows: np.ndarray):
 
 def _compose(cp: np.ndarray, rows: np.ndarray):
     keys, composite, ccc = compose_table()
+    first, size, codes = split_table()
+    # a composite before a mark is taken apart, as the mark may belong between its parts
+    mark = ccc[cp] > 0
+    before = np.flatnonzero(mark[1:] & (size[cp[:-1]] > 0)) if len(cp) > 1 else np.zeros(0, np.int64)
+    cp, rows = _rewrite(cp, rows, before, np.ones(len(before), np.int64), first[cp[before]], size[cp[before]], codes)
     cp = cp.copy()
     while True:
         kind = ccc[cp]

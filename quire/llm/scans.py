@@ -45,7 +45,7 @@ EDGE = 2
 OWN_HYPHEN, SHAPE_PAGES, SHAPE_SHARE = 4, 12, 0.7
 HYPHENS = "-‐‑¬­"
 #: Page numbers in print (fixed values), on text whose look-alikes of digits are digits.
-PAGE_NUMBER = re.compile(r"^(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|(?:[Pp]age|[Pp]\.|[Pp]g\.|[Ss]eite|[Pp]ágina|[Ss]\.|[Cc]\.|[Сс]тр\.|पृष्ठ|第)?\s*\d{1,4}(?:\s*(?:of|/|de|von|из)\s*\d{1,4})?\s*(?:ページ|页)?|[ivxlc]{1,7})$")
+PAGE_NUMBER = re.compile(r"^(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|(?:[Pp]age|[Pp]\.|[Pp]g\.|[Ss]eite|[Pp]ágina|[Ss]\.|[Cc]\.|[Сс]тр\.|पृष्ठ|第)?\s*\d{1,4}(?:\s*(?:of|/|de|von|из)\s*\d{1,4})?\s*(?:ページ|页)?|(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))$")
 NUMBERED_DOT = re.compile(r"^\d{1,4}\.$")
 #: Signs that recognition puts into words (fixed values).
 SIGNS = "@#§•^~¢|°¤*$&+=<>\\`"

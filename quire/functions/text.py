@@ -204,24 +204,24 @@ def _hits(found: Column, known: list[str]) -> Column:
     return F.size(F.filter(found, lambda w: w.isin(*known)))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def language_scores(c: Column) -> Column:
     """Struct of en, pt, es (shares of frequent words), language and confidence, from text with or without tags."""
-    found = words(F.lower(without_tags(c)))
-    n = F.size(found)
-    share = {k: _hits(found, s) / n for k, s in STOPWORDS.items()}
-    ranked = F.sort_array(F.array(*[F.struct(v.alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("code")) for i, (k, v) in enumerate(share.items())]), asc=False)
-    best, second = ranked[0], ranked[1]
-    few = n < LEAST_WORDS
-    sure = (best["score"] >= LEAST_SHARE) & (best["score"] - second["score"] >= LEAST_LEAD)
-    zero = F.lit(0.0)
-    return F.when(
-        c.isNotNull(),
-        F.struct(
-            *[F.when(few, zero).otherwise(v).alias(k) for k, v in share.items()],
-            F.when(few | ~sure, "unknown").otherwise(best["code"]).alias("language"),
-            F.when(few, zero).otherwise(best["score"]).alias("confidence"),
-        ),
-    )
+    codes = list(STOPWORDS)
+
+    def shares(found: Column) -> Column:
+        n = F.size(found)
+        return F.struct((n < LEAST_WORDS).alias("few"), *[F.when(n < LEAST_WORDS, 0.0).otherwise(_hits(found, STOPWORDS[k]) / n).alias(k) for k in codes])
+
+    def judged(s: Column) -> Column:
+        ranked = F.sort_array(F.array(*[F.struct(s[k].alias("score"), F.lit(-i).alias("rank"), F.lit(k).alias("code")) for i, k in enumerate(codes)]), asc=False)
+        return let(ranked, lambda r: F.struct(*[s[k].alias(k) for k in codes], F.when(s["few"] | (r[0]["score"] < LEAST_SHARE) | (r[0]["score"] - r[1]["score"] < LEAST_LEAD), "unknown").otherwise(r[0]["code"]).alias("language"), r[0]["score"].alias("confidence")))
+
+    return F.when(c.isNotNull(), let(words(F.lower(without_tags(c))), lambda found: let(shares(found), judged)))
 
 
 def section_measures(c: Column) -> Column:

@@ -408,6 +408,8 @@ class Scan:
     noise: DataFrame
     pages: DataFrame
     repairs: DataFrame
+    unknown: DataFrame  # (page_key, line_no, word)
+    joins: DataFrame  # (page_key, line_no) of lines that go on within a word
 
 
 def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
@@ -479,7 +481,72 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     damaged = cuts.filter("cut and not joins").filter(F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}") & F.split("word", "-\n")[0].rlike(r"\d")).select("page_key", "line_no")
     text_lines = misread.unionByName(damaged).distinct().join(away.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti").withColumn("noise", F.lit("misread"))
     noise = away.unionByName(cuts.filter("cut").select("page_key", "line_no").unionByName(bare.select("page_key", "line_no")).withColumn("noise", F.lit("cut_word"))).unionByName(text_lines).distinct()
-    return Scan(noise, body, repairs)
+    joins = cuts.filter("cut").select("page_key", "line_no").unionByName(bare.select("page_key", "line_no")).distinct()
+    return Scan(noise, body, repairs, unknown, joins)
+
+
+PIECES = "doc_id bigint, page_number int, page_key bigint, idx int, piece string, last boolean, ended boolean"
+ENDED = re.compile(r"[.!?。！？।…:][\"'”’“»)」』）]*\s*$")
+
+
+def _as_seen(seen: str, mended: str) -> str:
+    return mended.upper() if seen.isupper() and len(seen) > 1 else mended[:1].upper() + mended[1:] if seen[:1].isupper() else mended
+
+
+def mend_page(text: str, away: list[int], repairs: dict[int, dict[str, str]], joins: set[int]) -> list[str]:
+    """The paragraphs of a page; each ends with a space unless its last line goes on within a word."""
+    out, now, hidden = [], "", set(away or ())
+    for k, line in enumerate(text.split("\n"), 1):
+        if k in hidden:
+            continue
+        if not line.strip():
+            out, now = (out + [now], "") if now else (out, "")
+            continue
+        line = SIGN_IN_WORD.sub(lambda m: "".join(c for c in m[0] if c not in SIGNS), line.strip())
+        mine = repairs.get(k)
+        if mine:
+            line = WORDS_IN.sub(lambda m: _as_seen(m[0], mine[m[0].lower()]) if m[0].lower() in mine else m[0], line)
+        unspaced = bool(UNSPACED.search(line[-1:]))
+        now += line.rstrip(HYPHENS + " ") if k in joins else line if unspaced or hyphenated(line) else line + " "
+    return out + [now] if now else out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_()]
+    for batch in batches:
+        rows = []
+        for doc, number, page, text, away, fixes, joins in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            by_line: dict[int, dict[str, str]] = defaultdict(dict)
+            for f in fixes or ():
+                by_line[f["line_no"]][f["word"]] = f["mended"]
+            found = mend_page(text, away, by_line, set(joins or ()))
+            rows += [(doc, number, page, k, x, k == len(found) - 1, bool(ENDED.search(x))) for k, x in enumerate(found)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "page_number", "page_key", "idx", "piece", "last", "ended"])
+
+
+def paragraphs(scan: Scan) -> DataFrame:
+    """(doc_id, paragraph, first_page, last_page, text): the mended text of documents, page after page.
+
+    A page whose text does not end a sentence goes on with the next page's first paragraph.  Repairs and joins
+    are gathered by page, pieces are joined by paragraph, so no task holds a whole document.
+    """
+    fixes = scan.unknown.join(scan.repairs, "word").groupBy("page_key").agg(F.collect_set(F.struct("line_no", "word", "mended")).alias("fixes"))
+    joins = scan.joins.groupBy("page_key").agg(F.collect_set("line_no").alias("joins"))
+    pages = scan.pages.filter("doc_id is not null").join(fixes, "page_key", "left").join(joins, "page_key", "left")
+    pieces = pages.select("doc_id", "page_number", "page_key", "text", "away", "fixes", "joins").mapInArrow(_pieces, PIECES)
+    order = W.partitionBy("doc_id").orderBy("page_number", "page_key", "idx")
+    goes_on = (F.col("idx") == 0) & F.coalesce(F.lag(F.col("last") & ~F.col("ended")).over(order), F.lit(False))
+    numbered = pieces.withColumn("_new", (~goes_on).cast("int")).withColumn("paragraph", F.sum("_new").over(order))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "page_key", "idx", "piece"))), lambda x: x["piece"]), "")
+    return numbered.groupBy("doc_id", "paragraph").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.trim(whole).alias("text"))
+
+
+def low_confidence(pages: DataFrame, threshold: float = 60.0) -> DataFrame:
+    """(doc_id, pages, mean_confidence, low_pages): pages named whose confidence is null or under the threshold; repeated rows once."""
+    rows = pages.select("doc_id", "page_number", "confidence").distinct()
+    low = F.coalesce(F.col("confidence") < threshold, F.lit(True))
+    return rows.groupBy("doc_id").agg(F.countDistinct("page_number").alias("pages"), F.avg("confidence").alias("mean_confidence"), F.array_join(F.sort_array(F.collect_set(F.when(low, F.col("page_number")))), ",").alias("low_pages"))
 
 
 def _scan(spark: SparkSession, sf_dir: str) -> Scan:
@@ -488,3 +555,20 @@ def _scan(spark: SparkSession, sf_dir: str) -> Scan:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir).noise.select("page_key", "line_no", "noise")
+
+
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(_scan(spark, sf_dir))
+
+
+def p6_low_confidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = low_confidence(read_table(spark, sf_dir, "ocr_pages"))
+    return rows.select("doc_id", "pages", F.round("mean_confidence", 6).alias("mean_confidence"), "low_pages")
+
+
+SQL = {
+    "p6_low_confidence_pages": """
+        SELECT doc_id, count(DISTINCT page_number) AS pages, round(avg(confidence), 6) AS mean_confidence,
+          coalesce(array_to_string(list_sort(list(DISTINCT page_number) FILTER (coalesce(confidence < 60, true))), ','), '') AS low_pages
+        FROM (SELECT DISTINCT doc_id, page_number, confidence FROM ocr_pages) GROUP BY doc_id""",
+}

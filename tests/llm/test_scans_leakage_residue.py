@@ -104,6 +104,11 @@ def test_alignment():
     assert scans.alignment("abc", "xyz") is None and "".join(scans.alignment("cat", "cart")) == "cart"
 
 
+def test_pages_are_mended():
+    got = scans.mend_page("Head\nThe par5er low-\nconfidence Cov¢er is di-\nvided.\n\nNext", [1], {2: {"par5er": "parser"}}, {3})
+    assert got == ["The parser low-confidence Cover is divided. ", "Next "]
+
+
 def test_noise_of_pages(spark):
     clean = "The reading room compares the running titles of the older edition. The parser describes the marginal notes. The catalogue keeps the scanned cover sheets of the collection. "
     docs = spark.createDataFrame([(1, clean * 3), (2, clean)], "doc_id bigint, text string")
@@ -119,4 +124,9 @@ def test_noise_of_pages(spark):
     got = {(r["page_key"], r["line_no"], r["noise"]) for r in scan.noise.collect()}
     want = {(1, 1, "running_line"), (1, 2, "cut_word"), (1, 5, "running_line"), (2, 1, "running_line"), (2, 2, "misread"), (2, 3, "running_line"), (2, 4, "page_number"), (3, 1, "running_line"), (3, 2, "misread"), (3, 4, "running_line")}
     assert got == want
+    texts = [r["text"] for r in scans.paragraphs(scan).filter("doc_id = 1").orderBy("paragraph").collect()]
+    assert texts[0] == "The reading room compares the running titles of the older edition."
+    assert texts[-1] == "The catalogue keeps the scanned cover sheets of the collection." and len(texts) == 3
+    low = {r["doc_id"]: r["low_pages"] for r in scans.low_confidence(df).collect()}
+    assert low[1] == "2,3,9" and low[2] == "1,2"
     assert scans.analyse(df.limit(0), docs, meta).noise.count() == 0

@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"))
 
 
 def text_html(spark: SparkSession, d: str) -> DataFrame:
@@ -241,7 +241,7 @@ def q_collapse_spaces(spark, d):
 
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def q_normalize_nfc(spark, d):
-    return spread(documents(spark, d)).select("doc_id", A.nfc("text").alias("text"))
+    return documents(spark, d).select("doc_id", A.nfc("text").alias("text"))
 
 
 # ---- cleaning --------------------------------------------------------------------------------------
@@ -323,7 +323,7 @@ def q_language_scores(spark, d):
 
 @query(f"SELECT lang, language, count(*) AS n FROM {LANGUAGES} JOIN documents USING (doc_id) GROUP BY lang, language")
 def q_language_vs_label(spark, d):
-    rows = read_table(spark, d, "documents").select("lang", X.language_scores(F.col("text"))["language"].alias("language"))
+    rows = spread(read_table(spark, d, "documents").select("lang", "text")).select("lang", X.language_scores(F.col("text"))["language"].alias("language"))
     return rows.groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
@@ -336,7 +336,7 @@ _profile_html = rr(unwrap_(dehyphenate_(typography_("html"))), r"[\x00-\x08\x0B\
   FROM (SELECT doc_id, n, {clean_('n', 'standard')} AS c FROM (SELECT doc_id, {_profile_html} AS n FROM (SELECT doc_id, {_noise_sql} AS html FROM {HTML}))) h
   JOIN {LANGUAGES} l USING (doc_id)""")
 def q_slice_doc_profile(spark, d):
-    rows = read_table(spark, d, "documents").select("doc_id", X.language_scores(F.col("text"))["language"].alias("language"), _noisy(X.text_to_html(F.col("text"))).alias("html"))
+    rows = documents(spark, d).select("doc_id", X.language_scores(F.col("text"))["language"].alias("language"), _noisy(X.text_to_html(F.col("text"))).alias("html"))
     plain = X.strip_controls(X.dehyphenate(X.typography(F.col("html"))))
     plain = F.regexp_replace(plain, r"([\p{L},;.!?:)])\s*\n\s*([\p{L}(])", "$1 $2")
     rows = rows.select("doc_id", "language", plain.alias("n")).withColumn("c", X.clean(F.col("n"), "standard"))
@@ -491,7 +491,7 @@ def q_token_counts(spark, d):
 
 @query()
 def q_sentences(spark, d):
-    return spread(documents(spark, d)).select("doc_id", A.n_sentences("text").alias("n_sentences"))
+    return documents(spark, d).select("doc_id", A.n_sentences("text").alias("n_sentences"))
 
 
 _fit_sql = f"SELECT doc_id, section_key, row_number() OVER (PARTITION BY doc_id ORDER BY seq, section_key) - 1 AS index, content FROM {SECTIONS} WHERE {_tokens_sql.format(v='content')} <= 1000 AND {trim_('content')} <> ''"

@@ -10,7 +10,8 @@ to keep, delete or replace it, or to insert after it; at a hyphen before a line'
 the lines join.  It is trained on pairs that a bounded sample of pages gives: words unknown to the corpus
 beside the nearest word of the same document, and joined or kept hyphens that the corpus confirms.
 Words that all documents together do not know are candidates; a candidate is misread if the editor
-changes it or if a digit or sign stands among its letters.
+changes it or if a digit or sign stands among its letters.  A word that a hyphen divides at a line's end
+is a candidate in its joined form; each half that the repair changes is misread on its own line.
 
 The vocabulary of all documents is a table of hashes and is joined, not broadcast.  A document of very
 many pages is spread over tasks by page; only neighbouring pages meet, in a window.
@@ -55,6 +56,8 @@ AS_DIGIT = str.maketrans("lI|OoSsBZz", "1110055822")
 #: Scripts without spaces, whose words lines divide anywhere; there only signs within words show damage.
 UNSPACED = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 LETTERS = re.compile(r"[^\W\d_]")
+#: A digit among letters.
+MIXED = re.compile(r"[^\W\d_]\d|\d[^\W\d_]{2}")
 
 
 def _marks() -> str:
@@ -328,7 +331,7 @@ def fit(rows: list[tuple[str, str]]) -> Editor:
 # ---- lines and words -------------------------------------------------------------------------------
 
 WORDS = "page_key bigint, line_no int, role int, word string, h bigint, whole bigint"
-WORD, PART, JOINED, COMPOUND, SIGNED, BARE = range(6)
+WORD, PART, JOINED, COMPOUND, SIGNED, BARE, HALF = range(7)
 
 
 def body_lines(text: str, furniture_: list[int]) -> list[tuple[int, str]]:
@@ -341,7 +344,41 @@ def hyphenated(line: str) -> bool:
     return s[-1:] in HYPHENS and s[-1:] != "" and bool(LETTERS.match(s[-2:-1] or "."))
 
 
-def _line_rows(page: int, text: str, away: list[int], follow: str | None, cut_before: bool) -> list[tuple]:
+def _unsigned(line: str) -> str:
+    """The line without the signs within its words."""
+    return SIGN_IN_WORD.sub(lambda m: "".join(c for c in m[0] if c not in SIGNS), line)
+
+
+def _divided_rows(page: int, k: int, line: str, after: str, page_after: int | None, k_after: int | None) -> list[tuple]:
+    """The word that a hyphen divides at the end of ``line``, joined, as a compound and as halves, each half at its line.
+
+    Other words that hang on it (by hyphens or apostrophes) are words of their lines.  A half without another is
+    only a candidate for a digit among its letters.
+    """
+
+    def judged(w: str) -> bool:
+        return bool(LETTERS.search(w)) and not UNSPACED.search(w)
+
+    last, first = TOKEN.findall(_unsigned(line))[-1], TOKEN.match(_unsigned(after.lstrip()))
+    a = re.split(f"[{re.escape(HYPHENS)}]", last)
+    b = re.split(f"[{re.escape(HYPHENS)}]", first[0]) if first else [""]
+    left, right = words_in(" ".join(a)), words_in(" ".join(b))
+    x, y = (words_in(a[-1]) or [""])[-1], (words_in(b[0]) or [""])[0]
+    whole = "-".join([*a, *b]).lower() if first and len(a) + len(b) > 2 else None
+    rows = [(page, k, WORD, w, w, whole) for w in left[: len(left) - bool(x)] if judged(w)]
+    if not first:
+        return rows + ([(page, k, WORD, x, x, None)] if judged(x) and MIXED.search(x) else [])
+    rows += [(page_after, k_after, WORD, w, w, whole) for w in right[bool(y) :] if judged(w)]
+    if UNSPACED.search(x + y):
+        rows.append((page, k, JOINED, f"{a[-1]}-\n{b[0]}\n\n\n\n", x + y, None))
+    else:
+        rows += [(where, n, HALF, w, w, None) for where, n, w in ((page, k, x), (page_after, k_after, y)) if judged(w)]
+        rows.append((page, k, JOINED, f"{a[-1]}-\n{b[0]}\n{x}\n{y}\n{page_after}\n{k_after}", x + y, None))
+    rows.append((page, k, COMPOUND, f"{a[-1]}-\n{b[0]}", "-".join([*a, *b]).lower(), None))
+    return rows
+
+
+def _line_rows(page: int, text: str, away: list[int], follow: str | None, cut_before: bool, follow_page: int | None, follow_no: int | None) -> list[tuple]:
     """The words of a page that the vocabulary must know."""
     rows = []
     lines = body_lines(text, away)
@@ -353,9 +390,8 @@ def _line_rows(page: int, text: str, away: list[int], follow: str | None, cut_be
         cut = hyphenated(line)
         if begins and tokens and line.lstrip().startswith(tokens[0]):
             tokens = tokens[1:]
-        last = ""
-        if cut and tokens:
-            last, tokens = tokens[-1], tokens[:-1]
+        if cut:
+            tokens = tokens[:-1]
         for token in tokens:
             parts = re.split(f"[{re.escape(HYPHENS)}]", token)
             whole = "-".join(parts).lower() if len(parts) > 1 else None
@@ -369,14 +405,8 @@ def _line_rows(page: int, text: str, away: list[int], follow: str | None, cut_be
                 a, b = words_in(tokens[-1])[-1], words_in(first[0])[0]
                 rows.append((page, k, BARE, f"{a}\n{b}", a + b, None))
         if cut:
-            after = lines[n + 1][1] if n + 1 < len(lines) else follow or ""
-            first = TOKEN.match(after.lstrip())
-            if not last or not first:
-                continue
-            a, b = re.split(f"[{re.escape(HYPHENS)}]", last), re.split(f"[{re.escape(HYPHENS)}]", first[0])
-            joined = (words_in(a[-1]) or [""])[-1] + (words_in(b[0]) or [""])[0]
-            rows.append((page, k, JOINED, f"{a[-1]}-\n{b[0]}", joined, None))
-            rows.append((page, k, COMPOUND, f"{a[-1]}-\n{b[0]}", "-".join([*a, *b]).lower(), None))
+            after, at = (lines[n + 1][1], (page, lines[n + 1][0])) if n + 1 < len(lines) else (follow or "", (follow_page, follow_no))
+            rows += _divided_rows(page, k, line, after, *at)
     return rows
 
 
@@ -393,12 +423,42 @@ def _line_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        firsts, cuts = [], []
+        firsts, numbers, cuts = [], [], []
         for text, away in zip(batch.column("text").to_pylist(), batch.column("away").to_pylist(), strict=True):
             lines = body_lines(text, away)
             firsts.append(lines[0][1] if lines else None)
+            numbers.append(lines[0][0] if lines else None)
             cuts.append(hyphenated(lines[-1][1]) if lines else False)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(firsts, pa.string()), pa.array(cuts, pa.bool_())], [*batch.schema.names, "first_line", "last_cut"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(firsts, pa.string()), pa.array(numbers, pa.int32()), pa.array(cuts, pa.bool_())], [*batch.schema.names, "first_line", "first_no", "last_cut"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The halves of divided words that their repairs change, or that have a digit among letters, with what they become.
+
+    Columns: page_key, line_no, page_after, line_after, a, b, mended, sure (the vocabulary has it), odd (a half is unknown).
+    ``a`` is named "a-" and ``b`` "-b", for the last and the first word of a line.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string()]
+    for batch in batches:
+        rows = []
+        for page, line, page_after, line_after, a, b, mended, sure, odd in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if not sure and not odd:
+                continue
+            becomes = alignment(a + b, mended)
+            if becomes:
+                x, y = "".join(becomes[: len(a)]), "".join(becomes[len(a) :])
+            elif mended.startswith(a):
+                x, y = a, mended[len(a) :]
+            elif mended.endswith(b):
+                x, y = mended[: len(mended) - len(b)], b
+            else:
+                x, y = mended[: len(a)], mended[len(a) :]
+            if x != a or (MIXED.search(a + b) and any(c.isdigit() for c in a)):
+                rows.append((page, line, a + "-", x))
+            if y != b or MIXED.search(b):
+                rows.append((page_after, line_after, "-" + b, y))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_key", "line_no", "word", "mended"])
 
 
 @dataclass
@@ -410,6 +470,7 @@ class Scan:
     repairs: DataFrame
     unknown: DataFrame  # (page_key, line_no, word)
     joins: DataFrame  # (page_key, line_no) of lines that go on within a word
+    halves: DataFrame  # (page_key, line_no, word, mended) of damaged halves, as _halves names them
 
 
 def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
@@ -423,20 +484,22 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
     away = staged(away, "furniture")
     lines = away.groupBy("page_key").agg(F.sort_array(F.collect_set("line_no")).alias("away"))  # at most 2 * EDGE
     with_away = pages.join(lines, "page_key", "left").select("page_key", "doc_id", "page_number", "confidence", "text", F.coalesce("away", F.array().cast("array<int>")).alias("away"))
-    out = "page_key bigint, doc_id bigint, page_number int, confidence double, text string, away array<int>, first_line string, last_cut boolean"
+    out = "page_key bigint, doc_id bigint, page_number int, confidence double, text string, away array<int>, first_line string, first_no int, last_cut boolean"
     with_edges = with_away.mapInArrow(_edge_words, out)
     order = W.partitionBy("doc_id").orderBy("page_number", "page_key")
-    body = with_edges.withColumn("follow", F.lead("first_line").over(order)).withColumn("cut_before", F.coalesce(F.lag("last_cut").over(order), F.lit(False)))
+    body = with_edges.withColumn("follow", F.lead("first_line").over(order)).withColumn("follow_page", F.lead("page_key").over(order)).withColumn("follow_no", F.lead("first_no").over(order))
+    body = body.withColumn("cut_before", F.coalesce(F.lag("last_cut").over(order), F.lit(False)))
     body = staged(body, "pages")
-    words = staged(body.select("page_key", "text", "away", "follow", "cut_before").mapInArrow(lambda it: _line_words(it), WORDS), "words")
+    words = staged(body.select("page_key", "text", "away", "follow", "cut_before", "follow_page", "follow_no").mapInArrow(lambda it: _line_words(it), WORDS), "words")
     names = newest(metadata, "doc_id", "updated_at", "title", "author")
     known = staged(vocabulary(spread(docs), "text").unionByName(vocabulary(names, "title", "author")).distinct(), "vocabulary")
     own = words.filter((F.col("role") == PART)).select("page_key", "line_no", "whole").distinct().groupBy("whole").count().filter(F.col("count") >= OWN_HYPHEN).select("whole")
     # words that no document has
-    strange = words.filter(F.col("role").isin(WORD, PART)).join(known, "h", "left_anti").join(own, "whole", "left_anti")
+    strange = words.filter(F.col("role").isin(WORD, PART, HALF)).join(known, "h", "left_anti").join(own, "whole", "left_anti")
     # hyphens at line ends
     lookup = words.filter(F.col("role").isin(JOINED, COMPOUND))
-    joined = lookup.filter(F.col("role") == JOINED).join(known.withColumn("yes", F.lit(True)), "h", "left").select("page_key", "line_no", "word", F.col("yes").isNotNull().alias("joins"))
+    joined = lookup.filter(F.col("role") == JOINED).join(known.withColumn("yes", F.lit(True)), "h", "left").select("page_key", "line_no", F.split("word", "\n").alias("p"), F.col("yes").isNotNull().alias("joins"))
+    joined = joined.select("page_key", "line_no", F.concat_ws("\n", F.col("p")[0], F.col("p")[1]).alias("word"), F.col("p")[2].alias("a"), F.col("p")[3].alias("b"), F.expr("try_cast(p[4] as bigint)").alias("page_after"), F.expr("try_cast(p[5] as int)").alias("line_after"), "joins")
     compound = lookup.filter(F.col("role") == COMPOUND).join(own.withColumnRenamed("whole", "h"), "h", "left_semi").select("page_key", "line_no", F.lit(True).alias("stays"))
     sample = bounded_sample(pages.select("page_key", "doc_id", F.col("text").alias("page")), FIT_PAGES, "page_key")
     rows = sample.join(docs.select("doc_id", F.col("text").alias("doc")), "doc_id").groupBy("page_key").agg(F.first("page").alias("page"), F.max("doc").alias("doc")).orderBy("page_key").collect()
@@ -454,35 +517,46 @@ def analyse(pages: DataFrame, docs: DataFrame, metadata: DataFrame) -> Scan:
             yield pa.RecordBatch.from_arrays([pa.array(words_, pa.string()), pa.array(found, pa.string()), pa.array(rank, pa.int32()), hashes(list(found))], ["word", "mended", "rank", "h"])
 
     # words divided without a mark: together known, and one part not
-    unknown = staged(strange.select("page_key", "line_no", "word"), "strange")
+    strange = staged(strange.select("page_key", "line_no", "word", (F.col("role") == HALF).alias("half")), "strange")
+    own_parts = words.filter(F.col("role") == PART).join(own, "whole", "left_semi").select("word").distinct()
+    odd = staged(strange.filter("half").drop("half").join(own_parts, "word", "left_anti").select("page_key", "line_no", "word"), "odd")
+    unknown = strange.filter("not half").drop("half")
     alone = unknown.select(F.col("word").alias("part")).distinct()
     bare = words.filter(F.col("role") == BARE).join(known, "h", "left_semi").select("page_key", "line_no", F.split("word", "\n").alias("parts"))
     bare = bare.select("page_key", "line_no", F.explode("parts").alias("part"), "parts").join(alone, "part", "left_semi").select("page_key", "line_no", "parts").distinct()
     halves = bare.select("page_key", F.explode(F.array(F.struct("line_no", F.col("parts")[0].alias("word")), F.struct((F.col("line_no") + 1).alias("line_no"), F.col("parts")[1].alias("word")))).alias("x")).select("page_key", "x.*")
     unknown = unknown.join(halves, ["page_key", "line_no", "word"], "left_anti")
+    # the editor is asked only about joins that the vocabulary does not settle
+    capital = F.col("word").rlike(r"\n\p{Lu}")
+    open_ = joined.filter("not joins").join(compound, ["page_key", "line_no"], "left")
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    open_ = open_.repartition(2 * cores, "page_key").withColumn("mended", edited.asNondeterministic()(F.lower("word")))
+    cut = F.when(F.col("stays") | capital, False).otherwise(~F.col("mended").contains("-") | F.col("stays").isNull())
+    place = ["page_key", "line_no", "a", "b", "page_after", "line_after"]
+    open_ = open_.select(*place, cut.alias("cut"), "joins", F.col("stays").isNotNull().alias("own"))
+    cuts = staged(joined.filter("joins").select(*place, F.lit(True).alias("cut"), "joins", F.lit(False).alias("own")).unionByName(open_), "cuts")
+    # divided words that nobody knows are candidates as one word; beside a hyphen that stays, each half is one
+    divided = cuts.filter("cut and not joins and a != ''").select(*place, F.concat("a", "b").alias("word"))
+    kept = cuts.filter("not cut and not own").select(F.explode(F.array(F.struct("page_key", "line_no", F.col("a").alias("word")), F.struct(F.col("page_after").alias("page_key"), F.col("line_after").alias("line_no"), F.col("b").alias("word")))).alias("x")).select("x.*")
+    unknown = unknown.unionByName(odd.join(kept, ["page_key", "line_no", "word"], "left_semi"))
     # the editor's proposals, and which of them the vocabulary has
-    proposals = staged(unknown.select("word").distinct().repartition(2 * pages.sparkSession.sparkContext.defaultParallelism).mapInArrow(variants, "word string, mended string, rank int, h bigint"), "proposals")
+    proposals = staged(unknown.select("word").unionByName(divided.select("word")).distinct().repartition(2 * pages.sparkSession.sparkContext.defaultParallelism).mapInArrow(variants, "word string, mended string, rank int, h bigint"), "proposals")
     good = proposals.join(known, "h", "left_semi").groupBy("word").agg(F.min_by("mended", "rank").alias("known"))
     repairs = proposals.filter("rank = 0").select("word", "mended").join(good, "word", "left")
     mixed = F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}")
-    repairs = repairs.filter(F.col("known").isNotNull() | (F.col("mended") != F.col("word")) | mixed).select("word", F.coalesce("known", "mended").alias("mended"))
+    repairs = repairs.filter(F.col("known").isNotNull() | (F.col("mended") != F.col("word")) | mixed).select("word", F.coalesce("known", "mended").alias("mended"), F.col("known").isNotNull().alias("sure"))
     repairs = staged(repairs, "repairs")
     misread = unknown.join(repairs, "word", "left_semi").select("page_key", "line_no")
     misread = misread.unionByName(words.filter(F.col("role") == SIGNED).select("page_key", "line_no"))
-    # the editor is asked only about joins that the vocabulary does not settle
-    capital = F.col("word").rlike(r"\n\p{Lu}")
-    open_ = joined.filter("not joins").join(compound, ["page_key", "line_no"], "left")
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    open_ = open_.repartition(2 * cores, "page_key").withColumn("mended", edited.asNondeterministic()(F.lower("word")))
-    cut = F.when(F.col("stays") | capital, False).otherwise(~F.col("mended").contains("-") | F.col("stays").isNull())
-    open_ = open_.select("page_key", "line_no", "word", cut.alias("cut"), "joins")
-    cuts = staged(joined.filter("joins").select("page_key", "line_no", "word", F.lit(True).alias("cut"), "joins").unionByName(open_), "cuts")
-    # a divided word that is damaged: by the part that shows it
-    damaged = cuts.filter("cut and not joins").filter(F.col("word").rlike(r"\p{L}\d|\d\p{L}\p{L}") & F.split("word", "-\n")[0].rlike(r"\d")).select("page_key", "line_no")
-    text_lines = misread.unionByName(damaged).distinct().join(away.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti").withColumn("noise", F.lit("misread"))
+    # a divided word that is damaged: by the halves that show it
+    odd = odd.select("word").distinct()
+    odd_a, odd_b = (odd.select(F.col("word").alias(c), F.lit(True).alias("odd_" + c)) for c in "ab")
+    halves = divided.join(repairs, "word").join(odd_a, "a", "left").join(odd_b, "b", "left")
+    halves = halves.select("page_key", "line_no", "page_after", "line_after", "a", "b", "mended", "sure", (F.col("odd_a").isNotNull() | F.col("odd_b").isNotNull()).alias("odd")).mapInArrow(_halves, "page_key bigint, line_no int, word string, mended string")
+    text_lines = misread.unionByName(halves.select("page_key", "line_no")).distinct().join(away.select("page_key", "line_no"), ["page_key", "line_no"], "left_anti").withColumn("noise", F.lit("misread"))
     noise = away.unionByName(cuts.filter("cut").select("page_key", "line_no").unionByName(bare.select("page_key", "line_no")).withColumn("noise", F.lit("cut_word"))).unionByName(text_lines).distinct()
     joins = cuts.filter("cut").select("page_key", "line_no").unionByName(bare.select("page_key", "line_no")).distinct()
-    return Scan(noise, body, repairs, unknown, joins)
+    return Scan(noise, body, repairs, unknown, joins, halves)
 
 
 PIECES = "doc_id bigint, page_number int, page_key bigint, idx int, piece string, last boolean, ended boolean"
@@ -493,6 +567,18 @@ def _as_seen(seen: str, mended: str) -> str:
     return mended.upper() if seen.isupper() and len(seen) > 1 else mended[:1].upper() + mended[1:] if seen[:1].isupper() else mended
 
 
+def _repaired(line: str, repairs: dict[str, str]) -> str:
+    """The line with its words mended; "-b" is the first word of the line and "a-" the last, as halves."""
+    places = [m.start() for m in WORDS_IN.finditer(line)]
+
+    def mended(m: re.Match) -> str:
+        word = m[0].lower()
+        names = ["-" + word] * (m.start() == places[0]) + [word + "-"] * (m.start() == places[-1]) + [word]
+        return next((_as_seen(m[0], repairs[x]) for x in names if x in repairs), m[0])
+
+    return WORDS_IN.sub(mended, line)
+
+
 def mend_page(text: str, away: list[int], repairs: dict[int, dict[str, str]], joins: set[int]) -> list[str]:
     """The paragraphs of a page; each ends with a space unless its last line goes on within a word."""
     out, now, hidden = [], "", set(away or ())
@@ -502,10 +588,9 @@ def mend_page(text: str, away: list[int], repairs: dict[int, dict[str, str]], jo
         if not line.strip():
             out, now = (out + [now], "") if now else (out, "")
             continue
-        line = SIGN_IN_WORD.sub(lambda m: "".join(c for c in m[0] if c not in SIGNS), line.strip())
-        mine = repairs.get(k)
-        if mine:
-            line = WORDS_IN.sub(lambda m: _as_seen(m[0], mine[m[0].lower()]) if m[0].lower() in mine else m[0], line)
+        line = _unsigned(line.strip())
+        if repairs.get(k):
+            line = _repaired(line, repairs[k])
         unspaced = bool(UNSPACED.search(line[-1:]))
         now += line.rstrip(HYPHENS + " ") if k in joins else line if unspaced or hyphenated(line) else line + " "
     return out + [now] if now else out
@@ -531,7 +616,8 @@ def paragraphs(scan: Scan) -> DataFrame:
     A page whose text does not end a sentence goes on with the next page's first paragraph.  Repairs and joins
     are gathered by page, pieces are joined by paragraph, so no task holds a whole document.
     """
-    fixes = scan.unknown.join(scan.repairs, "word").groupBy("page_key").agg(F.collect_set(F.struct("line_no", "word", "mended")).alias("fixes"))
+    fixes = scan.unknown.join(scan.repairs.drop("sure"), "word").unionByName(scan.halves)
+    fixes = fixes.groupBy("page_key").agg(F.collect_set(F.struct("line_no", "word", "mended")).alias("fixes"))
     joins = scan.joins.groupBy("page_key").agg(F.collect_set("line_no").alias("joins"))
     pages = scan.pages.filter("doc_id is not null").join(fixes, "page_key", "left").join(joins, "page_key", "left")
     pieces = pages.select("doc_id", "page_number", "page_key", "text", "away", "fixes", "joins").mapInArrow(_pieces, PIECES)

@@ -130,3 +130,25 @@ def test_noise_of_pages(spark):
     low = {r["doc_id"]: r["low_pages"] for r in scans.low_confidence(df).collect()}
     assert low[1] == "2,3,9" and low[2] == "1,2"
     assert scans.analyse(df.limit(0), docs, meta).noise.count() == 0
+
+
+def test_damage_in_either_half_of_a_divided_word(spark):
+    clean = "The reading room compares the running titles of the older edition. The parser describes the marginal notes. The catalogue keeps the scanned cover sheets of the collection. "
+    docs = spark.createDataFrame([(1, clean * 3)], "doc_id bigint, text string")
+    meta = spark.createDataFrame([], "doc_id bigint, title string, author string, updated_at int")
+    pages = [
+        (1, 1, 1, "The parscr dcscribes the notcs of the\nolder edition the parser de-\n\nscribcs the marginal run-\nning titles of the colle-\nction the dcs-\ncribes notes of the cata-\nl0gue of the older edi-", 90.0),
+        (2, 1, 2, "tion. The parser compares the covcr shccts\nof the older edition.\nThe parser keeps the col-", 90.0),
+        (3, 1, 3, "lcction of the older edition. The\nolder edition keeps it.", 90.0),
+    ]
+    df = spark.createDataFrame(pages, "page_key bigint, doc_id bigint, page_number int, text string, confidence double")
+    scan = scans.analyse(df, docs, meta)
+    got = {(r["page_key"], r["line_no"]) for r in scan.noise.filter("noise = 'misread'").collect()}
+    assert got == {(1, 1), (1, 4), (1, 6), (1, 8), (2, 1), (3, 1)}
+    text = " ".join(r["text"] for r in scans.paragraphs(scan).orderBy("paragraph").collect())
+    assert "scribes the marginal running titles of the collection the describes notes of the cata" in text and "scribcs" not in text
+
+
+def test_halves_are_mended_only_at_the_edges():
+    got = scans.mend_page("in dc de-\nscribcs in dc", [], {1: {"de-": "de"}, 2: {"-scribcs": "scribes", "dc": "de"}}, {1})
+    assert got == ["in dc describes in de "]

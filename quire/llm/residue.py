@@ -5,14 +5,15 @@ its digits masked and its slots, in any common template syntax, as one mark; ali
 by equal skeletons shows what repeats and where slots still hold a variable's name.  One scan
 yields, with no text shuffled:
 
-* the skeletons of units of documents that have enough other text ("rich"), counted;
-* the units of short documents ("poor"), by document;
+* the distinct skeletons of each document, of any length, the longest of them marked;
 * the words of documents in which placeholder Latin is frequent, by document.
 
-A skeleton is a whole-page template if it repeats and the documents that carry it are mostly
-poor: error messages and notices stand alone, headings and sentences do not.  Filler words are
-those that many of the placeholder-Latin documents share.  A document is residue if, apart from
-its title line, menus and footers, all of its text is slots, templates or filler.
+Documents that show what stands alone ("poor") are short ones, and those of any length whose
+units, each once, have no numbers and mostly stand in other documents too.  A skeleton is a whole-page template if it repeats and
+the documents that carry it are mostly poor: error messages and notices stand alone, headings
+and sentences do not.  Filler words are those that many of the placeholder-Latin documents
+share.  A document of whatever length is residue if, apart from its title line, menus and footers, all of its text
+is slots, templates or filler.
 """
 
 from __future__ import annotations
@@ -42,17 +43,19 @@ TELLING = re.compile(
     r"(?i)javascript|\bscripts?\b|lorem ipsum|\b(?:40[0-9]|50[0-9])\b|^(?:error|erro|fehler|erreur|ошибка|fatal error|http status|tbd|todo|null|nan|undefined|n/a|none|xxx+|\[object object\])\b"
     r"|exception:|placeholder|(?:sample|dummy|insert|example) (?:text|description)|(?:not|no longer) (?:found|exists?)|access denied|forbidden|unavailable"
 )
-#: Text outside slots up to which a document counts as poor, in characters.
-POOR = 420
-#: Documents longer than this many characters besides slots are not searched for slots.
-LONG = 6000
+#: Parts of which every unit that TELLING finds has one, in folded case (fixed values).
+TELLING_PARTS = ("script", "lorem", "40", "50", "err", "fehler", "ошибка", "http", "tbd", "todo", "null", "nan", "undef", "n/a", "none", "xxx", "[object", "exception", "placeholder", " text", " desc", "not ", "longer ", "denied", "forbid", "unavail")
+#: Text outside slots up to which a document shows what stands alone, and, for longer ones, the share of own text.
+POOR, OWN_SHARE = 420, 0.5
 #: Documents that must carry a skeleton, and the share of them that must be poor.
 REPEATS, POOR_SHARE = 3, 0.5
 #: Placeholder Latin that makes a document a filler candidate: words, and their share.
 LATIN_WORDS, LATIN_SHARE = 2, 0.04
 #: Share of the candidates that must hold a word for it to be filler; share of filler in a document.
 FILLER_DOCS, FILLER_SHARE = 0.1, 0.8
-UNIT, POOR_UNIT, WORD, DOC = range(4)
+UNIT, WORD, DOC = range(3)
+#: Marks of units besides their state: of a short document, holds digits, one of the PROBES longest of its document.
+SHORT, NUMBERED, PROBE, PROBES = 4, 8, 16, 2
 OUT = "kind tinyint, doc bigint, h bigint, n int, c int"
 _latin = np.array(sorted(V.hash_of(w) for w in PLACEHOLDER_LATIN), np.uint64)
 #: The first characters of slots.
@@ -119,6 +122,11 @@ def _lines(string: str) -> list[str]:
     return body or [x for x, keep in zip(lines, kept, strict=True) if keep] or [x for x in lines if x]
 
 
+def _may_tell(string: str) -> bool:
+    folded = string.casefold()
+    return any(x in folded for x in TELLING_PARTS)
+
+
 def _rows(kind: int, doc, h, n, c) -> pa.RecordBatch:
     m = len(h)
     return pa.RecordBatch.from_arrays(
@@ -156,71 +164,71 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 distinct, many = np.unique(pair, axis=1, return_counts=True)
                 yield _rows(WORD, key[distinct[0].astype(np.int64)], distinct[1], many, 0)
                 yield _rows(DOC, key[filler], np.zeros(filler.sum()), words[filler], 0)
-            # poor documents, by their text outside slots and furniture
-            size = np.diff(text.rows)
-            poor = np.zeros(n, bool)
-            maybe, bodies = [], []
-            for r in np.flatnonzero((size > 0) & (size <= LONG) & ~filler):
-                if size[r] > 4 * POOR and not has_slot_sign[r]:
-                    continue
-                plain, slots = _slotted(text.string(text.rows[r], text.rows[r + 1])) if has_slot_sign[r] else (text.string(text.rows[r], text.rows[r + 1]), 0)
-                if size[r] > 2 * POOR and not slots:
-                    continue
-                maybe.append(r)
-                bodies.append("\n".join(_lines(plain)))
-            if maybe:
-                of = np.asarray(maybe)
-                found = V.Text(pa.array(bodies, pa.large_string()))
-                cp, rows = _masked(found)
-                s, e = units(cp, rows)
-                row = np.searchsorted(rows, s, "right") - 1
-                marks = np.zeros(len(cp) + 1, np.int64)
-                np.cumsum(cp == 1, out=marks[1:])
-                slot = marks[e] > marks[s]
-                other = np.bincount(row, (e - s) * ~slot, len(of))
-                is_poor = (other <= POOR) & (np.bincount(row, minlength=len(of)) > 0)
-                poor[of[is_poor]] = True
-                mine = np.flatnonzero(is_poor[row])
-                a, b = units(found.cp, found.rows)
-                told = np.zeros(len(mine), bool)
-                if len(a) == len(s):
-                    told = np.fromiter((bool(TELLING.search(found.string(a[k], b[k]))) for k in mine), bool, len(mine))
-                yield _rows(POOR_UNIT, key[of[row[mine]]], V.Spans(cp).of(s[mine], e[mine]), np.where(slot[mine], 2, told), (e - s)[mine])
-            rich = ~poor & ~filler
-            if rich.any():
-                cp, rows = _masked(text)
-                s, e = units(cp, rows)
-                ok = (e - s <= 160) & rich[np.searchsorted(rows, s, "right") - 1]
-                s, e = s[ok], e[ok]
-                names = V.Spans(cp).of(s, e)
-                pair = np.stack([(np.searchsorted(rows, s, "right") - 1).astype(np.uint64), names])
-                order = np.lexsort(pair)
-                same = np.append(False, (np.diff(pair[0][order]) == 0) & (np.diff(names[order]) == 0)) if len(order) else np.zeros(0, bool)
-                distinct, many = np.unique(names[order][~same], return_counts=True)
-                yield _rows(UNIT, 0, distinct, many, 0)
+            # the units of all others, without furniture and each once
+            of = np.flatnonzero((np.diff(text.rows) > 0) & ~filler)
+            if not len(of):
+                continue
+            bodies, suspect = [], np.zeros(len(of), bool)
+            for k, r in enumerate(of):
+                plain = text.string(text.rows[r], text.rows[r + 1])
+                body = "\n".join(_lines(_slotted(plain)[0] if has_slot_sign[r] else plain))
+                bodies.append(body)
+                suspect[k] = _may_tell(body)
+            found = V.Text(pa.array(bodies, pa.large_string()))
+            cp, rows = _masked(found)
+            s, e = units(cp, rows)
+            if not len(s):
+                continue
+            row = np.searchsorted(rows, s, "right") - 1
+            marks = np.zeros(len(cp) + 1, np.int64)
+            np.cumsum(cp == 1, out=marks[1:])
+            state = np.where(marks[e] > marks[s], 2, 0)
+            a, b = units(found.cp, found.rows)
+            if len(a) == len(s):
+                for k in np.flatnonzero(suspect[row] & (state == 0)):
+                    unit = found.string(a[k], b[k])
+                    state[k] = _may_tell(unit) and bool(TELLING.search(unit))
+            short = np.bincount(row, (e - s) * (state != 2), len(of)) <= POOR
+            names = V.Spans(cp).of(s, e)
+            numbered = (V.Spans(found.cp).of(a, b) if len(a) == len(s) else 0) != names
+            order = np.lexsort((state, names, row))
+            first = order[np.append(True, (np.diff(row[order]) != 0) | (np.diff(names[order]) != 0))]
+            # a document whose longest units do not repeat needs no more looking at
+            rank = first[np.lexsort((s[first] - e[first], state[first] > 0, row[first]))]
+            probe = np.zeros(len(s), bool)
+            probe[rank[np.arange(len(rank)) - np.searchsorted(row[rank], row[rank]) < PROBES]] = True
+            yield _rows(UNIT, key[of[row[first]]], names[first], (state + SHORT * short[row] + NUMBERED * numbered + PROBE * probe)[first], (e - s)[first])
 
 
 def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, reason): documents that are residue, once each; reason is "filler" or "template".
 
     Null keys and null or empty texts are no residue.  A document under several equal rows counts once.
-    The counts are over all documents; the words and units of poor documents are joined to the counts
-    by hash, so nothing is broadcast and no document's text is moved.
+    The counts are over all documents; the longest units of each are joined to the counts by hash, and only
+    documents where these repeat (or are slots or notices) are judged further; no document's text is moved.
     """
     rows = spread(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null"))
     seen = staged(rows.mapInArrow(_scan, OUT), "residue")
-    poor = seen.filter(F.col("kind") == POOR_UNIT).distinct()
-    counts = (
-        seen.filter(F.col("kind").isin(UNIT, POOR_UNIT))
-        .groupBy("h")
-        .agg(F.sum(F.when(F.col("kind") == UNIT, F.col("n")).otherwise(1)).alias("docs"), F.sum((F.col("kind") == POOR_UNIT).cast("int")).alias("poor"))
-        .filter(F.col("poor") > 0)
-    )
+    bit = lambda b: F.col("n").bitwiseAND(b) > 0
+    state = F.col("n") % SHORT
+    every = seen.filter(F.col("kind") == UNIT)
+    carriers = every.select("h", "doc", bit(SHORT).alias("short"), (state == 1).alias("tells")).repartition("h").groupBy("h", "doc").agg(F.max("short").alias("short"), F.max("tells").alias("tells"))
+    counts = carriers.groupBy("h").agg(F.count("*").alias("docs"), F.sum(F.col("short").cast("int")).alias("shorts"), F.max("tells").alias("tells"))
+    counts = staged(counts.filter((F.col("docs") >= REPEATS) | F.col("tells")).drop("tells"), "skeletons")
+    repeats = F.coalesce(F.col("docs") >= REPEATS, F.lit(False))
+    probes = every.filter(bit(PROBE)).select("doc", "h", state.alias("n")).join(counts, "h", "left")
+    open_ = probes.groupBy("doc").agg(F.bool_and((F.col("n") > 0) | repeats).alias("open")).filter("open").select("doc")
+    mine = every.join(open_, "doc").groupBy("doc", "h").agg(F.min(state).alias("n"), F.max(bit(SHORT)).alias("short"), F.max(bit(NUMBERED)).alias("numbered"), F.max("c").alias("c"))
+    mine = staged(mine.join(counts, "h", "left"), "open")
+    own = F.when((F.col("n") == 0) & (F.col("numbered") | ~repeats), F.col("c")).otherwise(0)
+    shows = mine.filter("not short").groupBy("doc").agg(F.sum(own).alias("own"), F.sum("c").alias("size")).filter(F.col("own") <= OWN_SHARE * F.col("size")).select("doc")
+    more = mine.join(shows, "doc").filter("not short").groupBy("h").agg(F.count("*").alias("more"))
     often = (F.col("docs") >= REPEATS) & (F.col("poor") >= POOR_SHARE * F.col("docs"))
     told = (F.col("n") == 1) & (F.col("poor") >= POOR_SHARE * F.col("docs"))
     template = (
-        poor.join(counts, "h")
-        .withColumn("residue", often | told | (F.col("n") == 2))
+        mine.join(more, "h", "left")
+        .withColumn("poor", F.col("shorts") + F.coalesce("more", F.lit(0)))
+        .withColumn("residue", F.coalesce(often | told, F.lit(False)) | (F.col("n") == 2))
         .groupBy("doc")
         .agg(F.bool_and("residue").alias("all"))
         .filter("all")

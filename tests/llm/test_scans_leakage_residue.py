@@ -68,6 +68,17 @@ def test_residue(spark):
     assert residue.residue_documents(docs.limit(0)).count() == 0
 
 
+def test_residue_of_any_length(spark):
+    real = "The parser of Zonlun checks the drafts of entry Mio{k}. The board of Povtus keeps them, as Tab{k} wrote. "
+    rows = [(k, "A title\n\n" + "".join(real.replace("{k}", "abcdefghij"[k % 10] * (k + n + 2)) for n in range(6))) for k in range(30)]
+    rows += [(100 + k, "Menu | Back\n\n" + "Insert your paragraph here.\n" * n + "\n(c) Some Archive") for k, n in enumerate((2, 17, 400))]
+    notice = "\n".join(f"Please let this page {w} before it can be shown to you in the browser of your choice." for w in "load settle start open answer resume finish connect".split())
+    rows += [(200 + k, "Notice\n\n" + notice) for k in range(3)]
+    rows += [(300, "\n".join(f"Dear {{{{name}}}}, clause {'abcdefgh'[k % 8] * (k % 31 + 1)} of the long form." for k in range(248))), (301, "Insert your paragraph here.\n" * 30 + "But this sentence of Zonlun is real.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {100, 101, 102, 200, 201, 202, 300}
+
+
 def test_units():
     t = V.Text(pa.array(["One two. Three!\n\nfour", "", "甲。乙"]))
     s, e = residue.units(t.cp, t.rows)

@@ -95,7 +95,7 @@ def passage(text: str | None) -> str:
 def sentences_of(text: str) -> list[str]:
     out: list[str] = []
     for part in re.split(r"(?<=[.!?。！？।])\s+|(?<=[。！？])", text):
-        if out and len(re.findall(r"\w+", part)) < 4:
+        if out and len(words_of(V.Text(pa.array([part], pa.large_string())))[0]) < 4:
             out[-1] += " " + part
         elif part:
             out.append(part)

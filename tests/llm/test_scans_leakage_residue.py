@@ -28,6 +28,16 @@ def test_leaks(spark):
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0 and leakage.find_leaks(docs.limit(0), items).count() == 0
 
 
+def test_leaks_without_spaces(spark):
+    text = "図書館員は第三棚の目録を毎朝確認する。修復された写本には余白の注記が残っている。編集者は索引の誤りを静かに訂正した。"
+    assert len(leakage.sentences_of(text)) == 3
+    items = spark.createDataFrame([(1, "次の文章を読みなさい。\n" + text)], "item_id bigint, text string")
+    first, second, third = leakage.sentences_of(text)
+    noise = "この報告は倉庫の温度と湿度を記録したものである。"
+    docs = spark.createDataFrame([(10, noise + first + second + noise), (11, noise * 3), (12, noise + first)], "doc_id bigint, text string")
+    assert {(r["item_id"], r["doc_id"]) for r in leakage.find_leaks(docs, items).collect()} == {(1, 10)}
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):

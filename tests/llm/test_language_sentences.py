@@ -1,3 +1,6 @@
+import dataclasses
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -82,3 +85,14 @@ def test_viterbi_in_lockstep_is_that_of_one_sequence():
     score, gap = rng.normal(size=len(sequence)).astype(np.float32), rng.integers(0, 4, len(sequence))
     want = [x for s in range(30) for x in sentences._path(score[sequence == s].tolist(), gap[sequence == s].tolist(), move)]
     assert sentences._viterbi(score, sequence, gap, move).astype(int).tolist() == want
+
+
+def test_short_paragraphs_without_marks_are_cut_by_a_chain():
+    pool = ["图书馆员每天早上检查目录", "修复的手稿保留着页边注释", "编辑悄悄改正了索引的错误", "仓库的温度由报告记录下来"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(pool[k] + "。" for k in rng.permutation(4)) for _ in range(60)]
+    model = sentences.fit(texts)
+    _, _, end = sentences.split(model, pa.array([pool[2] + pool[0] + pool[3]], pa.large_string()))
+    assert end.tolist() == [12, 24, 36]
+    cut = dataclasses.replace(model, bare_move=np.where(np.arange(2)[None, None, :] == 1, -1e6, 0.0) * np.ones((4, 2, 2)))
+    assert sentences.split(cut, pa.array([pool[2] + pool[0]], pa.large_string()))[2].tolist() == [24]

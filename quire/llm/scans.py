@@ -38,8 +38,6 @@ from quire.plans import bounded_sample, read_table, spread, staged
 
 #: Pages that the editor is trained on at most (those of the smallest hash), and rounds.
 FIT_PAGES, ROUNDS = 600, 3
-#: Alternatives of an unknown word that are looked up.
-VARIANTS = 8
 #: Lines at either edge of a page that can be furniture.
 EDGE = 2
 #: Mentions that make a hyphenated word one of the texts' own; pages that make a shape known.
@@ -237,8 +235,9 @@ class Editor:
                 score[op] += w
         return max(score, key=lambda op: (score[op], op == "", op))
 
-    def variants(self, word: str, many: int = VARIANTS) -> list[str]:
-        """The best words that differ from ``word`` by one change, or by two at neighbouring characters."""
+    def variants(self, word: str) -> list[str]:
+        """``edit(word)`` and, best first, all words that differ by one change the editor knows there, or by the best two at neighbouring characters."""
+        found: list[tuple[float, str]] = []
         best: list[tuple[float, str]] = []
         for i, c in enumerate(word):
             score: dict[str, float] = defaultdict(float)
@@ -246,11 +245,11 @@ class Editor:
                 for op, w in self.weights.get(f, {}).items():
                     score[op] += w
             keep = score.pop("", 0.0)
-            best.append(max(((w - keep, "" if op == "\0" else op) for op, w in score.items()), default=(-1e9, c)))
-        found = [(w, word[:i] + op + word[i + 1 :]) for i, (w, op) in enumerate(best)]
+            changes = [(w - keep, "" if op == "\0" else op) for op, w in score.items()]
+            found += [(w, word[:i] + op + word[i + 1 :]) for w, op in changes]
+            best.append(max(changes, default=(-1e9, c)))
         found += [(best[i][0] + best[i + 1][0], word[:i] + best[i][1] + best[i + 1][1] + word[i + 2 :]) for i in range(len(word) - 1)]
-        found = [x for x in found if x[0] > -1e8 and x[1]]
-        return [self.edit(word)] + [w for _, w in sorted(found, reverse=True)[:many]]
+        return list(dict.fromkeys([self.edit(word)] + [w for s, w in sorted(found, reverse=True) if s > -1e8 and w and w != word]))
 
     def edit(self, word: str) -> str:
         out = []

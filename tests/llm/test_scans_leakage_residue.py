@@ -120,6 +120,12 @@ def test_editor_learns_confusions():
     assert editor.edit("reque5t") == "request"
 
 
+def test_all_changes_are_looked_up():
+    editor = scans.Editor({"0e": {"c": 9.0, "o": 8.0}, **{"0" + c: {"x": 5.0} for c in "abdfghijkl"}, "0m": {"n": -3.0}})
+    found = editor.variants("abdfghijklme")
+    assert "abdfghijklmo" in found and "abdfghijklne" in found and len(found) == len(set(found))
+
+
 def test_alignment():
     assert scans.alignment("rn0del", "model") == ["m", "", "o", "d", "e", "l"] or "".join(scans.alignment("rn0del", "model")) == "model"
     assert scans.alignment("abc", "xyz") is None and "".join(scans.alignment("cat", "cart")) == "cart"

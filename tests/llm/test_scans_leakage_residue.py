@@ -61,20 +61,52 @@ def test_block_alignment_scores():
 # ---- template residue ------------------------------------------------------------------------------
 
 
+#: Records of three templates with the same names in other slots, in syntaxes that nobody told the operator.
+FORMS = ["Dear ⟦first name⟧, your order ~id~ of {{date}} is on its way.", "Dear {{date}}, your order ⟦id⟧ of ~first name~ is on its way.", "Written for ~date~ by {{id}}", "Written for ⟦id⟧ by ⟦date⟧", "Kept for {{first name}} only", "Kept for ~id~ only"]
+
+
+def test_slots_are_induced(spark):
+    filled = ["Dear Maria Lun, your order 7 of 3 May is on its way.", "Written for Zon by Mar", "Kept for readers only"]
+    real = "The *board* of [Zon{k}] keeps <b>drafts</b> of entry {k}, as «Mio{k}» wrote in part «two»."
+    rows = [(k, f) for k, f in enumerate(FORMS)]
+    rows += [(10, "A new letter for {{id}} and ⟦date⟧ that has no other record"), (11, "A new letter for [id] whose signs no record has"), (12, "A letter for {{somebody}} else")]
+    rows += [(20 + k, f + " This one was sent by Zonlun.") for k, f in enumerate(filled)]
+    rows += [(30 + k, real.replace("{k}", "abcdefghij"[k] * 3)) for k in range(10)]
+    rows += [(50, real.replace("{k}", "xy") + "\n\n{{date}}"), (51, "{{date}}"), (52, "<p>text</p>\n<p>more</p>")]
+    rows += [(60 + k, f"Form sent to ____ in year {k}") for k in range(2)] + [(62, "Form kept by ____ until ~date~"), (63, "Form kept by {{id}} until ____"), (64, "Form sent to ~date~ in year 5")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {0, 1, 2, 3, 4, 5, 10, 51, 60, 61, 62, 63, 64}
+
+
+def test_defaults_in_slots(spark):
+    rows = [(k, f) for k, f in enumerate(FORMS)] + [(10 + k, "Sent with regards to {{Valued Customer}} of ours") for k in range(4)] + [(20, "Sent with regards to {{Maria Lun}} of ours")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {0, 1, 2, 3, 4, 5, 10, 11, 12, 13}
+
+
+def test_long_pages_of_one_kind(spark):
+    page = "\n".join(f"The reader could not {w} this page because the store behind it gave no answer in time." for w in "open load find show start fetch render resolve draw list build send reach fill".split())
+    rows = [(k, f) for k, f in enumerate(FORMS)] + [(10 + k, page) for k in range(6)] + [(20, "\n".join(FORMS[k % 6] for k in range(290)))]
+    assert len(page) > 1200 and len(rows[-1][1]) > 10_000
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {0, 1, 2, 3, 4, 5, 20, *range(10, 16)}
+
+
 def test_residue(spark):
     real = "The parser of Zonlun checks the drafts of entry {k}. The board of Povtus keeps them, as Mio{k} wrote. " * 6
     rows = [(k, "A title\n\n" + real.replace("{k}", str(k))) for k in range(30)]
     rows += [(100 + k, f"Menu | Back | Help\nPage not available, code {k + 400}\n\n(c) Some Archive, build {k}") for k in range(5)]
     rows += [(200, "Title: X\n\nDear {{first_name}},\n\nYour order <%= id %> of ${date} is on its way."), (201, "Dear [INSERT NAME], from __COMPANY__")]
+    rows += [(202, "Dear [INSERT DATE],\n\nYour order __id__ of [INSERT NAME] is on its way."), (203, "Dear ${insert name}, from <%= id %>"), (204, "Dear <%= id %>,"), (205, "Dear {{id}}, from ${company}"), (206, "Dear {{company}}, from {{first_name}}")]
     rows += [(300 + k, "Lorem ipsum dolor amet. Veniat aliqua fugiat laborum ipsum lorem. " * 8) for k in range(3)]
     rows += [(400, "This short text is real and is found once only."), (401, "The manual explains {{ name }} in a long and real sentence of its own.\n\nThat is all there is, and it is real, by Zonlun."), (402, None), (403, ""), (100, rows[30][1]), (None, "x")]
     rows += [(404, real.replace("{k}", "7") + "\n\nPage not available, code 404")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("kind", F.lit(1)).withColumn("h", F.lit(1))
     got = {r["doc_id"]: r["reason"] for r in residue.residue_documents(docs).collect()}
-    assert set(got) == {100, 101, 102, 103, 104, 200, 201, 300, 301, 302}
+    assert set(got) == {100, 101, 102, 103, 104, *range(200, 207), 300, 301, 302}
     assert got[300] == "filler" and got[100] == "template"
     left = residue.without_residue(docs)
-    assert left.columns == docs.columns and left.count() == len(rows) - 11
+    assert left.columns == docs.columns and left.count() == len(rows) - 16
     assert residue.residue_documents(docs.limit(0)).count() == 0
 
 
@@ -85,8 +117,9 @@ def test_residue_of_any_length(spark):
     notice = "\n".join(f"Please let this page {w} before it can be shown to you in the browser of your choice." for w in "load settle start open answer resume finish connect".split())
     rows += [(200 + k, "Notice\n\n" + notice) for k in range(3)]
     rows += [(300, "\n".join(f"Dear {{{{name}}}}, clause {'abcdefgh'[k % 8] * (k % 31 + 1)} of the long form." for k in range(248))), (301, "Insert your paragraph here.\n" * 30 + "But this sentence of Zonlun is real.")]
+    rows += [(400 + k, f) for k, f in enumerate(("Dear {{name}}, hello", "Dear {{date}}, hello", "Thanks, {{date}}", "Thanks, {{name}}"))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {100, 101, 102, 200, 201, 202, 300}
+    assert {r["doc_id"] for r in residue.residue_documents(docs).collect()} == {100, 101, 102, 200, 201, 202, 300, 400, 401, 402, 403}
 
 
 def test_units():

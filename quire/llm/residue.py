@@ -239,7 +239,7 @@ def unfilled(fields: DataFrame) -> DataFrame:
     """
     fields = fields.select("doc", "h", "n", "c", "v").distinct()
     values = staged(fields.groupBy("h", "n", "c", "v").agg(F.count("*").alias("docs")), "columns")
-    columns = values.filter("n >= 0").groupBy("h", "n").agg(F.sum("docs").alias("all"), F.countDistinct("v").alias("many"))
+    columns = values.filter("n >= 0").groupBy("h", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("many"))
     slots = values.join(columns, ["h", "n"]).select("h", "n", "c", "v", "docs", "all", ((F.col("all") >= SLOT_RECORDS) & (F.col("many") > 1)).alias("slot"))
     names = slots.filter("slot").groupBy("v").agg(F.countDistinct("h").alias("frames")).filter(F.col("frames") >= NAME_FRAMES).select("v", F.lit(True).alias("name"))
     default = (F.col("docs") >= REPEATS) & (F.col("docs") >= DEFAULT_SHARE * F.col("all"))

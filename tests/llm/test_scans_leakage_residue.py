@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -214,3 +216,45 @@ def test_damage_in_either_half_of_a_divided_word(spark):
 def test_halves_are_mended_only_at_the_edges():
     got = scans.mend_page("in dc de-\nscribcs in dc", [], {1: {"de-": "de"}, 2: {"-scribcs": "scribes", "dc": "de"}}, {1})
     assert got == ["in dc describes in de "]
+
+
+def test_the_editor_decides_joins(spark, monkeypatch):
+    """The same pages, with an editor that keeps the hyphen: the line is no cut word, and the text keeps it."""
+    clean = "The reading room compares the running titles of the older edition. "
+    docs = spark.createDataFrame([(1, clean * 3)], "doc_id bigint, text string")
+    meta = spark.createDataFrame([], "doc_id bigint, title string, author string, updated_at int")
+    pages = spark.createDataFrame([(1, 1, 1, "The reading room compares the run-\nning titles of the older edition.", 90.0)], "page_key bigint, doc_id bigint, page_number int, text string, confidence double")
+    found = lambda: {(r["line_no"], r["noise"]) for r in scans.analyse(pages, docs, meta).noise.collect()}
+    assert (1, "cut_word") in found()
+    monkeypatch.setattr(scans, "fit", lambda rows: scans.Editor({"j": {"": 9.0, "\0": -9.0}}))
+    assert (1, "cut_word") not in found()
+
+
+def test_joins_follow_the_vocabulary_and_the_compound():
+    doc = "The parser compares the catalogue entries. The running titles of the half-title page keep the well-known order. "
+    page = "The parser compares the cata-\nlogue entries. The run-\nning titles of the half-\ntitle page keep the well-\nknown order of the half-title and the well-known page."
+    editor = scans.fit([(page, doc + x) for x in ("a", "b", "c", "d")])
+    assert editor.joins("regis", "ter", (True, False, False, False)) and not editor.joins("cross", "reference", (False, True, True, True))
+
+
+def test_a_header_of_three_lines(spark):
+    """The third line of a header that stands on every page is found by its place, far from where the model expects one."""
+    body = "the parser {a} reads the marginal notes of sheet {a} in the\nold hand, and {b} keeps what the clerk of the archive wrote\nabout box {b}, since nobody else had kept the list of it\nin the rooms of {a}, where the cover sheets had been put."
+    words = "Zonlun Miotus Tabek Orvar Pelsin".split()
+    rows = [(k, 1, k, "Shelf marks of the archive\nSecond survey\nCopy for readers\n" + body.replace("{a}", w).replace("{b}", w[::-1].lower()), 90.0) for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, body)], "doc_id bigint, text string")
+    meta = spark.createDataFrame([], "doc_id bigint, title string, author string, updated_at int")
+    pages = spark.createDataFrame(rows, "page_key bigint, doc_id bigint, page_number int, text string, confidence double")
+    found = {(r["page_key"], r["line_no"]) for r in scans.furniture(pages, meta).collect()}
+    assert found == {(k, n) for k in range(5) for n in (1, 2, 3)}
+
+
+def test_next_page_of_groups(spark):
+    """The next page is the same as one window by document gives, across groups of pages and repeated numbers."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(0, 400, 3)])) for k in range(300)]
+    df = spark.createDataFrame(rows, "page_key bigint, doc_id bigint, page_number int")
+    got = {r["page_key"]: r["follow"] and r["follow"]["page_key"] for r in scans.following(df).collect()}
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], -1 if r[2] is None else r[2], r[0]))
+    want = {r[0]: None for r in rows} | {a[0]: b[0] for a, b in zip(order[:-1], order[1:], strict=True) if a[1] == b[1]}
+    assert got == want

@@ -2,8 +2,8 @@
 
 Nearest-centroid classification.  Character n-grams of words (with their edges marked) are
 weighted by TF-IDF; the training sentences of each language are clustered into a few centroids
-by spherical k-means; a text has the language of the centroid of greatest cosine.  A text too
-far from every centroid is rejected and gets no language.
+by spherical k-means; a text has the language of the centroid of greatest cosine.  A text farther
+from it than held-out text of that language and of its length is rejected and gets no language.
 
 The n-grams of a text are those of its words, so a text's product with a centroid is the sum of
 its words' products.  A worker keeps, for each distinct word met, the products with all centroids
@@ -33,11 +33,15 @@ from quire.plans import read_table, spread
 #: Labelled rows that a model is fitted on at most (those of the smallest keys), n-gram lengths, hashed features.
 FIT_ROWS, NGRAMS, FEATURES = 20_000, (1, 2, 3, 4), 1 << 15
 #: Centroids of a language, and width of the projection.
-CLUSTERS, PROJECTION = 3, 24
+CLUSTERS, PROJECTION = 3, 128
 #: Words remembered by a worker.
 KEEP = 150_000
-#: A sentence is rejected below this share of the least cosine that a training sentence has with its own language.
-REJECT = 0.5
+#: A text is rejected if its cosine is so many standard deviations below the mean of held-out text of its language and
+#: length; the lengths in letters, and the share of the training rows that are held out to learn these cosines.
+#: The deviation counts as SPREAD of the mean at least, as few rows show little of it.
+REJECT, SPREAD, LENGTHS, HELD_OUT = 3.5, 0.08, (12, 25, 50, 100), 4
+#: Words whose n-grams are gathered at a time.
+WORDS_TOGETHER = 4000
 #: A line without an end mark counts as a heading up to this many characters.
 HEADING = 70
 #: Confidence below which a sentence goes with the one before it, and that of sentences under SHORT characters.
@@ -51,7 +55,7 @@ class Model:
     of: np.ndarray  # the language of each centroid
     centroids: np.ndarray  # (FEATURES, centroids), columns of length 1, times idf
     idf: np.ndarray
-    least: float
+    least: np.ndarray  # (languages, LENGTHS): the cosine from which text is of the language
 
 
 def _grams(word: str) -> np.ndarray:
@@ -75,31 +79,37 @@ def _words(text: V.Text) -> tuple[np.ndarray, np.ndarray]:
     return start[word], end[word]
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """Centroids from (language, text) rows."""
-    names = sorted({lang for lang, text in rows if lang and text})
+def _vectors(rows: list[tuple[str, str]], names: list[str], letters: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram counts, language) of the sentences of (language, text) rows, or of their beginnings of so many letters."""
     vectors, owner = [], []
-    for lang, text in sorted(rows, key=lambda r: (r[0] or "", r[1] or "")):
-        if not lang or not text:
-            continue
+    for lang, text in rows:
         t = V.Text(pa.array([text.lower()], pa.large_string()))
         start, end = sentences(t)
         ws, we = _words(t)
         for a, b in zip(start, end, strict=True):
             mine = np.flatnonzero((ws >= a) & (we <= b))
+            if letters is not None:
+                total = np.cumsum(we[mine] - ws[mine])
+                if not len(mine) or total[-1] < letters:
+                    continue
+                mine = mine[: int(np.searchsorted(total, letters)) + 1]
             grams = [_grams(t.string(ws[k], we[k])) for k in mine]
             if grams:
                 vectors.append(np.bincount(np.concatenate(grams), minlength=FEATURES).astype(np.float32))
                 owner.append(names.index(lang))
-    if not vectors:
-        return Model([], np.zeros(0, np.int64), np.zeros((FEATURES, 0), np.float32), np.ones(FEATURES, np.float32), 0.0)
-    x, owner = np.stack(vectors), np.asarray(owner)
+    return (np.stack(vectors) if vectors else np.zeros((0, FEATURES), np.float32)), np.asarray(owner, np.int64)
+
+
+def _clusters(x: np.ndarray, owner: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(idf, centroids, their languages) by spherical k-means within each language."""
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     x = x * idf
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    centroids, of, least = [], [], []
-    for k in range(len(names)):
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centroids, of = [], []
+    for k in range(many):
         mine = x[owner == k]
+        if not len(mine):
+            continue
         seeds = [mine.mean(axis=0)]
         while len(seeds) < min(CLUSTERS, len(mine)):  # the farthest sentence starts the next cluster
             seeds.append(mine[np.argmin((mine @ np.stack(seeds).T / np.linalg.norm(seeds, axis=1)).max(axis=1))])
@@ -108,11 +118,42 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
             near = (mine @ c.T).argmax(axis=1)
             c = np.stack([mine[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        centroids.append(c)
+        centroids.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9))
         of += [k] * len(c)
-        least.append(float((mine @ c.T).max(axis=1).min()))
-    return Model(names, np.asarray(of), (np.concatenate(centroids).T * idf[:, None]).astype(np.float32), idf, min(least))
+    return idf, np.concatenate(centroids), np.asarray(of)
+
+
+def fit(rows: list[tuple[str, str]]) -> Model:
+    """Centroids from (language, text) rows.
+
+    Every HELD_OUT-th row of a language is first held out; how near such text of several lengths comes to the centroids
+    of the others is the distance from which texts are rejected.  A language of fewer rows is judged by its own rows.
+    """
+    rows = sorted({(lang, text) for lang, text in rows if lang and text})
+    names = sorted({lang for lang, _ in rows})
+    x, owner = _vectors(rows, names)
+    if not len(x):
+        return Model([], np.zeros(0, np.int64), np.zeros((FEATURES, 0), np.float32), np.ones(FEATURES, np.float32), np.zeros((0, len(LENGTHS))))
+    number = {lang: 0 for lang in names}
+    train, held = [], []
+    for lang, text in rows:
+        number[lang] += 1
+        (held if number[lang] % HELD_OUT == 0 else train).append((lang, text))
+    few = {lang for lang in names if number[lang] < HELD_OUT}
+    held += [r for r in train if r[0] in few]
+    idf, centroids, of = _clusters(*_vectors(train, names), len(names))
+    least = np.ones((len(names), len(LENGTHS)))
+    for j, letters in enumerate(LENGTHS):
+        y, whose = _vectors(held, names, letters)
+        y = y * idf
+        cosine = (y @ centroids.T) / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+        for k in range(len(names)):
+            mine = cosine[whose == k][:, of == k]
+            near = mine.max(axis=1) if len(mine) else None
+            least[k, j] = max(0.0, near.mean() - REJECT * max(near.std(), SPREAD * near.mean())) if len(mine) > 1 else least[k, j - 1] if j else 0.0
+    least = np.minimum.accumulate(least[:, ::-1], axis=1)[:, ::-1]  # longer text comes no less near
+    idf, centroids, of = _clusters(x, owner, len(names))
+    return Model(names, of, (centroids.T * idf[:, None]).astype(np.float32), idf, least)
 
 
 _tables: dict[str, np.ndarray] = {}
@@ -212,9 +253,9 @@ class Scorer:
         if len(new):
             first = np.full(len(distinct), -1, np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            for k in new:
-                word = low[start[first[k]] : end[first[k]]].tobytes().decode("utf-32-le", "replace")
-                scores[k] = self.table[_grams(word)].sum(axis=0)
+            for k in range(0, len(new), WORDS_TOGETHER):
+                some = new[k : k + WORDS_TOGETHER]
+                scores[some] = self._of(low, start[first[some]], end[first[some]])
             if len(self.keys) + len(new) > KEEP:
                 self.keys, self.rows = np.zeros(0, np.uint64), self.rows[:0]
             keys = np.concatenate([self.keys, distinct[new]])
@@ -222,8 +263,30 @@ class Scorer:
             self.keys, self.rows = keys[order], np.concatenate([self.rows, scores[new]])[order]
         return code, scores
 
-    def judge(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Language (-1: rejected), confidence and products by language for rows of sums."""
+    def _of(self, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Sums over the n-grams of words, as ``_grams`` has them, gathered for all words at once."""
+        kind = V.classes()[low[start]]
+        edged = ~((kind == V.HAN) | (kind == V.KANA))
+        size = end - start + 2 * edged
+        at = np.append(0, np.cumsum(size))
+        word = np.repeat(np.arange(len(start)), size)
+        place = np.arange(at[-1])
+        buffer = low[np.clip((start - at[:-1] - edged)[word] + place, 0, len(low) - 1)].copy()
+        buffer[at[:-1][edged]] = 2
+        buffer[at[1:][edged] - 1] = 3
+        spans, left = V.Spans(buffer), at[1:][word] - place
+        grams, owner = [], []
+        for n in NGRAMS:
+            some = np.flatnonzero((left >= n) & (edged[word] | (n <= 3)))
+            grams.append((spans.of(some, some + n) >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64))
+            owner.append(word[some])
+        grams, owner = np.concatenate(grams), np.concatenate(owner)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        return np.add.reduceat(self.table[grams[order]], np.flatnonzero(np.append(True, np.diff(owner) != 0)), axis=0)
+
+    def judge(self, sums: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language (-1: rejected), confidence and products by language for rows of sums over so many letters."""
         k, n = len(self.model.of), len(self.model.languages)
         norm = np.maximum(np.linalg.norm(sums[:, k:], axis=1), 1e-6)
         by = np.stack([sums[:, np.flatnonzero(self.model.of == j)].max(axis=1) for j in range(n)], axis=1) if n else np.zeros((len(sums), 1))
@@ -232,8 +295,11 @@ class Scorer:
         cosine = order[:, -1] / norm
         second = order[:, -2] if by.shape[1] > 1 else np.zeros(len(by))
         margin = np.where(order[:, -1] > 0, (order[:, -1] - second) / np.maximum(order[:, -1], 1e-9), 0)
-        ok = (cosine >= REJECT * self.model.least) & (order[:, -1] > 0) & (n > 0)
-        return np.where(ok, best, -1), np.where(ok, np.clip(np.sqrt(np.maximum(margin, 0)) * np.minimum(1, cosine / max(self.model.least, 1e-9)), 0, 1), 0.0), by
+        length = np.clip(np.searchsorted(LENGTHS, letters, "right") - 1, 0, len(LENGTHS) - 1)
+        least = self.model.least[best, length] if n else np.ones(len(sums))
+        least = least * np.minimum(1, letters / LENGTHS[0])  # less text comes less near
+        ok = (cosine >= least) & (order[:, -1] > 0) & (n > 0)
+        return np.where(ok, best, -1), np.where(ok, np.clip(np.sqrt(np.maximum(margin, 0)) * np.minimum(1, cosine / np.maximum(least, 1e-9)), 0, 1), 0.0), by
 
 
 def _not_prose(text: V.Text, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -254,7 +320,7 @@ def _not_prose(text: V.Text, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 _scorers: dict[int, Scorer] = {}
 SEGMENT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sentences", T.IntegerType())])
-RESULT = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("segments", T.ArrayType(SEGMENT))])
+RESULT = T.StructType([T.StructField("language", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("sentences", T.IntegerType()), T.StructField("segments", T.ArrayType(SEGMENT))])
 
 
 def _detect(model: Model, scorer: Scorer, part: pa.Array) -> pa.Array:
@@ -272,48 +338,62 @@ def _detect(model: Model, scorer: Scorer, part: pa.Array) -> pa.Array:
     prose = ~_not_prose(text, start, end)[some]
     start, end = start[some], end[some]
     row = text.row_of(start)
-    lang, sure, by = scorer.judge(sums)
+    letters = np.add.reduceat(we - ws, first)
+    lang, sure, _ = scorer.judge(sums, letters)
     rows, row_first = np.unique(row, return_index=True)
     row_last = np.append(row_first[1:], len(row))
-    total, total_sure, _ = scorer.judge(np.add.reduceat(sums, row_first, axis=0))
-    out: list = [None] * n
+    total, total_sure, _ = scorer.judge(np.add.reduceat(sums, row_first, axis=0), np.add.reduceat(letters, row_first))
+    clear = sure >= np.where(end - start >= SHORT, CLEAR, SHORT_CLEAR)
+    # texts of fewer than two sentences are judged as a whole; of the others, the sentences
+    many = np.add.reduceat(prose, row_first)
+    lone = many < 2
+    use = np.flatnonzero(prose & ~np.repeat(lone, row_last - row_first))
+    base = text.rows[row]
+    # two rejected sentences in a row are in none of the languages; one alone goes with the one before
+    rejected = lang[use] < 0
+    together = np.append(False, row[use][1:] == row[use][:-1]) if len(use) else rejected
+    run = rejected & ((np.append(False, rejected[:-1]) & together) | (np.append(rejected[1:], False) & np.append(together[1:], False))) if len(use) else rejected
+    found: dict[int, list[list]] = {}
     names = model.languages
-    for r, a, b, whole, whole_sure in zip(rows, row_first, row_last, total, total_sure, strict=True):
-        base = text.rows[r]
-        use = np.flatnonzero(prose[a:b]) + a
-        segments = []
-        if len(use) < 2:  # too short for two sentences: the whole text
-            if whole >= 0:
-                segments.append([int(start[a] - base), int(end[b - 1] - base), names[whole], float(whole_sure), 2])
-        else:
+    now, at_row = -2, -1
+    for k, r, this, sharp, none, first_place, last_place, s in zip(use.tolist(), row[use].tolist(), lang[use].tolist(), clear[use].tolist(), run.tolist(), (start[use] - base[use]).tolist(), (end[use] - base[use]).tolist(), sure[use].tolist(), strict=True):
+        if r != at_row:
+            now, at_row = -2, r
+        if none:
             now = -2
-            for k in use:
-                this = lang[k] if sure[k] >= (CLEAR if end[k] - start[k] >= SHORT else SHORT_CLEAR) or now < 0 else now  # a sentence that says little goes with the one before
-                if this < 0:
-                    continue
-                if this == now:
-                    segments[-1][1] = int(end[k] - base)
-                    segments[-1][3] += float(sure[k])
-                    segments[-1][4] += 1
-                else:
-                    segments.append([int(start[k] - base), int(end[k] - base), names[this], float(sure[k]), 1])
-                    now = this
-            for s in segments:
-                s[3] /= s[4]
-        if not segments and whole < 0:
+            continue
+        if not sharp and now >= 0:
+            this = now
+        if this < 0:
+            continue
+        if this == now:
+            last = found[r][-1]
+            last[1], last[3], last[4] = last_place, last[3] + s, last[4] + 1
+        else:
+            found.setdefault(r, []).append([first_place, last_place, names[this], s, 1])
+            now = this
+    out: list = [None] * n
+    for r, a, b, whole, whole_sure, units, alone in zip(rows.tolist(), row_first.tolist(), row_last.tolist(), total.tolist(), total_sure.tolist(), many.tolist(), lone.tolist(), strict=True):
+        if alone:
+            segments = [[int(start[a] - text.rows[r]), int(end[b - 1] - text.rows[r]), names[whole], whole_sure, 1]] if whole >= 0 else []
+        else:
+            segments = found.get(r, [])
+            for x in segments:
+                x[3] /= x[4]
+        if not segments:
             continue
         weight: dict[str, int] = {}
-        for s in segments:
-            weight[s[2]] = weight.get(s[2], 0) + s[1] - s[0]
-        best = max(weight, key=lambda x: (weight[x], x)) if weight else names[whole]
-        share = weight[best] / sum(weight.values()) if weight else 1.0
-        out[r] = {"language": best, "confidence": float(share * max((s[3] for s in segments if s[2] == best), default=whole_sure)), "segments": [dict(zip(("start", "end", "language", "confidence", "sentences"), s, strict=True)) for s in segments]}
+        for x in segments:
+            weight[x[2]] = weight.get(x[2], 0) + x[1] - x[0]
+        best = max(weight, key=lambda x: (weight[x], x))
+        share = weight[best] / max(1, sum(weight.values()))
+        out[r] = {"language": best, "confidence": float(share * max(x[3] for x in segments if x[2] == best)), "sentences": max(1, units), "segments": [dict(zip(("start", "end", "language", "confidence", "sentences"), x, strict=True)) for x in segments]}
     return pa.array(out, _arrow())
 
 
 def _arrow():
     segment = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("language", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())])
-    return pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("segments", pa.list_(segment))])
+    return pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32()), ("segments", pa.list_(segment))])
 
 
 def fit_samples(samples: DataFrame, language: str = "language", text: str = "text", key: str = "sample_id") -> Model:
@@ -323,10 +403,10 @@ def fit_samples(samples: DataFrame, language: str = "language", text: str = "tex
 
 
 def detect_languages(df: DataFrame, samples: DataFrame, text: str = "text", into: str = "detected") -> DataFrame:
-    """``df`` with a struct ``into``: language, confidence and segments (start, end, language, confidence, sentences).
+    """``df`` with a struct ``into``: language, confidence, sentences and segments (start, end, language, confidence, sentences).
 
-    Segments are runs of sentences of one language; headings, lists, tables and code belong to none.  A text of
-    fewer than two sentences is one segment.  Null, empty and letterless texts, and texts far from every language,
+    Segments are runs of sentences of one language; headings, lists, tables and code belong to none, nor do two or more
+    sentences in a row that are far from every language.  A text of fewer than two sentences is one segment of one.  Null, empty and letterless texts, and texts far from every language,
     have a null struct.  Repeated rows get the same result; a column named ``into`` is replaced.
     """
     model = df.sparkSession.sparkContext.broadcast(fit_samples(samples))
@@ -349,8 +429,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = detect_languages(spread(docs.select("doc_id", "lang", "text")), read_table(spark, sf_dir, "language_samples"))
     languages = (
-        found.select("doc_id", "lang", F.explode("detected.segments").alias("s"))
-        .filter((F.col("s.sentences") >= 2) & ~F.col("s.language").eqNullSafe(language_code(F.col("lang"))))
+        found.select("doc_id", "lang", F.col("detected.sentences").alias("n"), F.explode("detected.segments").alias("s"))
+        .filter(((F.col("s.sentences") >= 2) | (F.col("n") < 2)) & ~F.col("s.language").eqNullSafe(language_code(F.col("lang"))))
         .select("doc_id", F.col("s.language").alias("language"))
         .distinct()
     )

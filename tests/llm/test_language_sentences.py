@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.llm import language, sentences
+from quire.llm import vector as V
 from tests.conftest import DATA
 
 
@@ -96,3 +97,30 @@ def test_short_paragraphs_without_marks_are_cut_by_a_chain():
     assert end.tolist() == [12, 24, 36]
     cut = dataclasses.replace(model, bare_move=np.where(np.arange(2)[None, None, :] == 1, -1e6, 0.0) * np.ones((4, 2, 2)))
     assert sentences.split(cut, pa.array([pool[2] + pool[0]], pa.large_string()))[2].tolist() == [24]
+
+
+def test_unknown_languages_are_rejected(spark):
+    """Languages that no sample has, and noise, get no language; the count of sentences is that of the text."""
+    samples = spark.read.parquet(f"{DATA}/language_samples.parquet")
+    unknown = [
+        "Kirjasto on avoinna joka päivä kello kymmenestä kuuteen ja lukija palauttaa kirjat ajoissa.", "Ang wikang Tagalog ay isa sa mga pangunahing wika ng Pilipinas.",
+        "Ez a könyvtár minden nap nyitva van reggel kilenctől este hatig.", "Kütüphane her gün sabah dokuzdan akşam altıya kadar açıktır.",
+        "Η βιβλιοθήκη είναι ανοιχτή κάθε μέρα από τις εννέα.", "xq zvkj wqpt rrtk blmn vvxz qqpw",
+    ]
+    known = ["The parser marks the page images. The catalogue keeps the scanned cover sheets.", "Der Parser ordnet die Bildunterschriften auf Wunsch der Bücherei."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(unknown + known)], "id int, text string")
+    got = {r["id"]: r["detected"] for r in language.detect_languages(df, samples).collect()}
+    assert [k for k in range(len(unknown)) if got[k] is not None] == []
+    en, de = got[len(unknown)], got[len(unknown) + 1]
+    assert (en["language"], en["sentences"], en["segments"][0]["sentences"]) == ("en", 2, 2)
+    assert (de["language"], de["sentences"], de["segments"][0]["sentences"]) == ("de", 1, 1)
+
+
+def test_sums_of_words_equal_those_of_their_grams(spark):
+    rows = [(r["language"], r["text"]) for r in spark.read.parquet(f"{DATA}/language_samples.parquet").collect()]
+    scorer = language.Scorer(language.fit(rows))
+    words = ["a", "parser", "目录", "カタログ", "नमस्ते", "übermaß"]
+    t = V.Text(pa.array([" ".join(words)]))
+    start, end = language._words(t)
+    want = np.stack([scorer.table[language._grams(t.string(a, b))].sum(axis=0) for a, b in zip(start, end, strict=True)])
+    assert np.allclose(scorer._of(V.lower_table()[t.cp], start, end), want, rtol=1e-4, atol=1e-3)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import arrow as A
 from quire.functions import text as X
-from quire.functions.constants import ALLOWED_TAGS, FORMATS, STOPWORDS
 from quire.operators import cache, chunking, export, quality, structure
 from quire.plans import read_table, spread
 from quire.sources.files import format_of
@@ -68,6 +67,17 @@ def metadata(spark: SparkSession, d: str) -> DataFrame:
     return last.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names])
 
 
+# ---- values of the SQL, apart from those of the operators ------------------------------------------
+
+ALLOWED_TAGS = "article section div h1 h2 h3 h4 h5 h6 p span em strong a ul ol li table thead tbody tr th td pre code blockquote br hr".split()
+FORMATS = dict(x.split("=") for x in ".pdf=pdf .epub=epub .txt=txt .text=txt .html=html .htm=html .rtf=rtf .mobi=mobi .azw=mobi .azw3=mobi".split())
+STOPWORDS = {
+    "en": "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me".split(),
+    "pt": "de a o que e do da em um para com no na uma os se mais as dos como mas foi ao ele das tem seu sua ou ser quando muito nos ja eu tambem so pelo pela ate isso ela entre era depois sem mesmo aos ter seus".split(),
+    "es": "de la que el en y a los del se las por un para con no una su al lo como mas pero sus le ya o este si porque esta entre cuando muy sin sobre tambien me hasta hay donde quien desde todo nos durante todos uno les ni".split(),
+}
+PREFIXES = ("ch", "s", "ss", "p", "sp", "ssp")
+
 # ---- parts of SQL ----------------------------------------------------------------------------------
 
 NL = "chr(10)"
@@ -116,14 +126,19 @@ def unwrap_(v: str) -> str:
     return rr(v, r"([\p{L},;.!?:)])\s*\n\s*([\p{L}(])", r"\1 \2")
 
 
+# The SQL has its own values, written from the rules and not taken from the operators.
+PAGE_ = (r"(?i)<p[^>]*>\s*-?\s*[0-9]{1,4}\s*-?\s*</p>", r"(?i)<p[^>]*>\s*(page|p\.?|pg\.?)\s*[0-9]{1,4}(\s*(of|/)\s*[0-9]{1,4})?\s*</p>")
+ISBN_ = r"ISBN[- \t\n]?(13|10)?[\s:]*([0-9][-\s]?){9,13}[0-9Xx]"
+LEGAL_ = tuple(rf"(?i)<p[^>]*>[^<]*({x})[^<]*</p>" for x in (r"copyright|©|\(c\)", r"all\s+rights\s+reserved", r"published\s+by", r"printed\s+in"))
+DECORATIVE_ = r"(?i)<p[^>]*>\s*[-*=_~#]{3,}\s*</p>"
+
+
 def page_numbers_(v: str) -> str:
-    for p in X.PAGE_NUMBERS:
-        v = rr(v, p)
-    return v
+    return rr(rr(v, PAGE_[0]), PAGE_[1])
 
 
 def legal_(v: str) -> str:
-    for p in X.LEGAL:
+    for p in LEGAL_:
         v = rr(v, p)
     return v
 
@@ -132,12 +147,19 @@ def empty_(v: str) -> str:
     return rr(v, r"(?i)<p[^>]*>\s*</p>|<section[^>]*>\s*</section>|<div[^>]*>\s*</div>")
 
 
+def orphan_(v: str) -> str:
+    """The list of paragraphs that are orphans: short, with a digit, of at most four characters, and no capital with three more."""
+    text = "trim(regexp_replace(x, '<[^>]+>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))"
+    short = f"regexp_extract_all({v}, {q(r'(?i)<p[^>]*>' + chr(92) + 's*[^<]{1,10}' + chr(92) + 's*</p>')})"
+    return f"list_filter({short}, lambda x: length({text}) BETWEEN 1 AND 4 AND regexp_matches({text}, '[0-9]') AND NOT (length({text}) > 3 AND regexp_matches({text}, '^[A-Z]')))"
+
+
 def clean_(v: str, level: str) -> str:
     v = rr(page_numbers_(v), r"\n{3,}", "\n\n")
     if level != "light":
-        v = legal_(rr(v, X.ISBN))
+        v = legal_(rr(v, ISBN_))
     if level == "aggressive":
-        v = rr(rr(v, r"(?i)<p[^>]*>\s*(?:\d[^<]{0,3}|[^<\s]\d[^<]{0,2}|[^<\s][^<]\d[^<]?|[^<\s][^<]{2}\d)\s*</p>"), X.DECORATIVE)
+        v = rr(f"list_reduce(list_prepend({v}, {orphan_(v)}), lambda h, x: replace(h, x, ''))", DECORATIVE_)
     return empty_(v)
 
 
@@ -247,13 +269,36 @@ def q_normalize_nfc(spark, d):
 # ---- cleaning --------------------------------------------------------------------------------------
 
 
+#: One piece of noise of each kind, and what only looks like noise.
+NOISE = """<p>42</p>
+<p>- 7 -</p>
+<p>Page 3 of 9</p>
+
+
+
+<p>ISBN 978-3-16-148410-0</p>
+<p>Copyright 2020</p>
+<p>All rights reserved.</p>
+<p>x 1</p>
+<p>x1   </p>
+<p>A123</p>
+<p>B747</p>
+<p>Ab12</p>
+<p>A12</p>
+<p>***</p>
+<p>Running head</p>
+<p>Text</p>
+<p>Running head</p>
+<div> </div>
+"""
+
+
 def _noisy(html):
-    """The documents' HTML with one piece of noise of each kind, so that every rule has work."""
-    noise = "<p>42</p>\n<p>- 7 -</p>\n<p>Page 3 of 9</p>\n\n\n\n<p>ISBN 978-3-16-148410-0</p>\n<p>Copyright 2020</p>\n<p>All rights reserved.</p>\n<p>x 1</p>\n<p>***</p>\n<div> </div>\n"
-    return F.concat(F.lit(noise), html)
+    """The documents' HTML with noise before, so that every rule has work."""
+    return F.concat(F.lit(NOISE), html)
 
 
-_noise_sql = "'<p>42</p>' || chr(10) || '<p>- 7 -</p>' || chr(10) || '<p>Page 3 of 9</p>' || chr(10) || chr(10) || chr(10) || chr(10) || '<p>ISBN 978-3-16-148410-0</p>' || chr(10) || '<p>Copyright 2020</p>' || chr(10) || '<p>All rights reserved.</p>' || chr(10) || '<p>x 1</p>' || chr(10) || '<p>***</p>' || chr(10) || '<div> </div>' || chr(10) || html"
+_noise_sql = " || chr(10) || ".join(q(x) for x in NOISE.split("\n")) + " || html"
 
 
 def _clean_query(level: str):
@@ -272,14 +317,26 @@ def _count_(v: str, p: str) -> str:
     return f"len(regexp_extract_all({v}, {q(p)}))"
 
 
+_after_pages = rr(page_numbers_("h"), r"\n{3,}", "\n\n")
+_after_heads = f"replace({_after_pages}, 'Running head', '')"
+_after_legal = legal_(rr(_after_heads, ISBN_))
+_legal_counts, _text = [], rr(_after_heads, ISBN_)
+for _p in LEGAL_:
+    _legal_counts.append(_count_(_text, _p))
+    _text = rr(_text, _p)
+_noisy_html = f"(SELECT {_noise_sql} AS h FROM {HTML})"
+
+
 @query(f"""SELECT type, sum(n)::BIGINT AS n FROM (
-  SELECT 'page_number' AS type, {_count_('h', X.PAGE_NUMBERS[0])} + {_count_(rr('h', X.PAGE_NUMBERS[0]), X.PAGE_NUMBERS[1])} AS n FROM (SELECT {_noise_sql} AS h FROM {HTML})
-  UNION ALL SELECT 'whitespace', CASE WHEN {rr(page_numbers_('h'), chr(92) + "n{3,}", "x")} <> {page_numbers_('h')} THEN 1 ELSE 0 END FROM (SELECT {_noise_sql} AS h FROM {HTML})
-  UNION ALL SELECT 'isbn', {_count_('h', X.ISBN)} FROM (SELECT {_noise_sql} AS h FROM {HTML})
-  UNION ALL SELECT 'legal_credit', {' + '.join(_count_('h', p) for p in X.LEGAL)} FROM (SELECT {_noise_sql} AS h FROM {HTML})
-  UNION ALL SELECT 'decorative', {_count_('h', X.DECORATIVE)} FROM (SELECT {_noise_sql} AS h FROM {HTML})) GROUP BY type HAVING sum(n) > 0""")
+  SELECT 'page_number' AS type, {_count_('h', PAGE_[0])} + {_count_(rr('h', PAGE_[0]), PAGE_[1])} AS n FROM {_noisy_html}
+  UNION ALL SELECT 'whitespace', CASE WHEN {_after_pages} <> {page_numbers_('h')} THEN 1 ELSE 0 END FROM {_noisy_html}
+  UNION ALL SELECT 'repeated_pattern', (length({_after_pages}) - length({_after_heads})) / length('Running head') FROM {_noisy_html}
+  UNION ALL SELECT 'isbn', {_count_(_after_heads, ISBN_)} FROM {_noisy_html}
+  UNION ALL SELECT 'legal_credit', {' + '.join(_legal_counts)} FROM {_noisy_html}
+  UNION ALL SELECT 'orphan_paragraph', len({orphan_('l')}) FROM (SELECT {_after_legal} AS l FROM {_noisy_html})
+  UNION ALL SELECT 'decorative', {_count_('l', DECORATIVE_)} FROM (SELECT {_after_legal} AS l FROM {_noisy_html})) GROUP BY type HAVING sum(n) > 0""")
 def q_audit_counts(spark, d):
-    rows = text_html(spark, d).select(F.explode(X.audit(_noisy(F.col("html")), "aggressive")).alias("a"))
+    rows = text_html(spark, d).select(F.explode(X.audit(_noisy(F.col("html")), "aggressive", F.array(F.lit("Running head")))).alias("a"))
     return rows.groupBy("a.type").agg(F.count("*").alias("n"))
 
 
@@ -399,9 +456,9 @@ def q_heading_linguistic(spark, d):
     return both.select("text", structure.titled_level(F.col("text")).alias("level")).filter("level is not null")
 
 
-@query(f"SELECT text, ({_shout_sql}) AS shouted FROM (SELECT replace(upper(text), 'ẞ', 'SS') AS text FROM ({_lines_sql}) WHERE text NOT LIKE '%ß%' UNION ALL SELECT text FROM ({_lines_sql}) WHERE text NOT LIKE '%ß%')")
+@query(f"SELECT text, ({_shout_sql}) AND text NOT LIKE '%ß%' AS shouted FROM (SELECT upper(replace(text, 'ß', 'SS')) AS text FROM ({_lines_sql}) UNION ALL SELECT text FROM ({_lines_sql}))")
 def q_heading_uppercase(spark, d):
-    rows = _lines(spark, d).filter(~F.col("text").contains("ß"))
+    rows = _lines(spark, d)
     both = rows.select(F.upper("text").alias("text")).unionByName(rows)
     return both.select("text", structure.shouted(F.col("text")).alias("shouted"))
 
@@ -412,7 +469,7 @@ def _levels(spark, d) -> DataFrame:
 
 _ids = ", ".join(f"count(*) FILTER (level = {k}) OVER (PARTITION BY doc_id, g{k} ORDER BY seq) AS n{k}" for k in range(1, 7))
 _gs = ", ".join(f"count(*) FILTER (level < {k}) OVER (PARTITION BY doc_id ORDER BY seq) AS g{k}, max(CASE WHEN level = {k} THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p{k}" for k in range(1, 7))
-_name = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN level >= {k} AND n{k} > 0 THEN '{p}' || n{k} END" for k, p in enumerate(structure.PREFIXES, 1)) + "], lambda x: x IS NOT NULL), '-')"
+_name = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN level >= {k} AND n{k} > 0 THEN '{p}' || n{k} END" for k, p in enumerate(PREFIXES, 1)) + "], lambda x: x IS NOT NULL), '-')"
 _parent = "greatest(" + ", ".join(f"CASE WHEN level > {k} THEN p{k} END" for k in range(1, 6)) + ")"
 _depth = " + ".join(f"CASE WHEN level > {k} AND p{k} > greatest(-1{''.join(f', coalesce(p{j}, -1)' for j in range(1, k))}) THEN 1 ELSE 0 END" for k in range(1, 6))
 
@@ -613,11 +670,9 @@ def q_export_md(spark, d):
     return m.join(body, "doc_id", "left").select("doc_id", F.concat(head, F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
-@query(f"""SELECT doc_id, {rr("string_agg(CASE WHEN title IS NOT NULL AND title NOT IN ('', 'Document') THEN title || chr(10) || chr(10) ELSE '' END || " + _md + " || chr(10) || chr(10), '' ORDER BY seq, section_key)", WS_ + '+', ' ')} AS body FROM {SECTIONS} GROUP BY doc_id HAVING count(*) = count(DISTINCT seq)""")
+@query(f"""SELECT doc_id, {rr("string_agg(CASE WHEN title IS NOT NULL AND title NOT IN ('', 'Document') THEN title || chr(10) || chr(10) ELSE '' END || " + _md + " || chr(10) || chr(10), '' ORDER BY seq, section_key)", WS_ + '+', ' ')} AS body FROM {SECTIONS} GROUP BY doc_id""")
 def q_export_txt(spark, d):
-    rows = sections(spark, d)
-    clear = rows.groupBy("doc_id").agg((F.count("*") == F.countDistinct("seq")).alias("ok")).filter("ok").select("doc_id")
-    body = export.section_text(rows.join(clear, "doc_id", "left_semi"), "doc_id")
+    body = export.section_text(sections(spark, d).withColumn("seq", F.struct("seq", "section_key")), "doc_id")
     return body.select("doc_id", F.concat(F.regexp_replace("body", f"{X.WS}+$", ""), F.lit(" ")).alias("body")).select("doc_id", F.regexp_replace("body", f"{X.WS}+", " ").alias("body"))
 
 

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from html import escape
 from html.parser import HTMLParser
+from itertools import count, repeat
 
 from quire.functions.constants import ALLOWED_TAGS
 
@@ -103,58 +104,110 @@ def standard_html(source: str, drop: set[str] = DROPPED, away=("style", "class")
     return serialize(body, drop | {"head", "title"}, away=away).strip(), title, author, language
 
 
-def _line(text: str) -> str:
-    return re.sub(r"\s*\n\s*", " ", text).strip()
+# ---- Markdown --------------------------------------------------------------------------------------
+#
+# A tree becomes runs: pieces of Markdown with breaks between them as objects of their own.  What an element adds is
+# said by one entry of a table; elements without an entry are their contents.
+
+
+class _Break:
+    """A forced line end; it survives the joining of lines around it."""
+
+
+BREAK = _Break()
+Runs = list["str | _Break"]
+
+
+def _written(runs: Runs) -> str:
+    return "".join("\n" if r is BREAK else r for r in runs)
+
+
+def _joined(text: str) -> str:
+    return re.sub(r"\s*\n\s*", " ", text)
+
+
+def _split(runs: Runs) -> list[str]:
+    """The text between breaks."""
+    parts = [""]
+    for r in runs:
+        if r is BREAK:
+            parts.append("")
+        else:
+            parts[-1] += r
+    return parts
+
+
+def _trimmed(runs: Runs) -> Runs:
+    """Runs without white space at either end; breaks there stay."""
+    parts = _split(runs)
+    parts[0] = parts[0].lstrip()
+    parts[-1] = parts[-1].rstrip()
+    return [x for part in parts for x in (BREAK, part)][1:]
+
+
+def _contents(node: Node) -> Runs:
+    return [run for c in node.children for run in ([c] if isinstance(c, str) else _RUNS.get(c.tag, _contents)(c))]
+
+
+def _paragraph(node: Node) -> Runs:
+    text = "\n".join(_joined(_written([part])) for part in _split(_trimmed(_contents(node))))
+    return [text, "\n\n"] if text else []
+
+
+def _between(mark: str):
+    return lambda node: [mark, *_trimmed(_contents(node)), mark]
+
+
+def _heading(level: int):
+    return lambda node: [f"\n{'#' * level} {_joined(node.text()).strip()}\n\n"]
+
+
+def _items(marks):
+    def runs(node: Node) -> Runs:
+        out: Runs = []
+        for mark, item in zip(marks(), (c for c in node.children if isinstance(c, Node) and c.tag == "li"), strict=False):
+            out += [mark, " ", *_trimmed(_contents(item)), "\n"]
+        return [*out, "\n"]
+
+    return runs
+
+
+def _link(node: Node) -> Runs:
+    name, target = _joined(node.text()).strip(), node.attrs.get("href")
+    return [f"[{name}]({target})" if target else name]
+
+
+def _quote(node: Node) -> Runs:
+    return [run if run is BREAK else run.replace("\n", "\n> ") for run in ["> ", *_trimmed(_contents(node))]] + ["\n\n"]
+
+
+def _fence(node: Node) -> Runs:
+    return [f"\n```\n{next(node.find('code'), node).text()}\n```\n\n"]
+
+
+def _code(node: Node) -> Runs:
+    return [] if node.parent is not None and node.parent.tag == "pre" else [f"`{node.text()}`"]
+
+
+def _grid(node: Node) -> Runs:
+    """A pipe table as wide as its widest row, with the first row as head."""
+    cells = [[cell.text().strip() for cell in row.find("th", "td")] for row in node.find("tr")]
+    if not cells:
+        return []
+    width = max(map(len, cells))
+    cells.insert(1, ["---"] * width)
+    return ["".join("| " + " | ".join(row + [""] * (width - len(row))) + " |\n" for row in cells), "\n"]
+
+
+_RUNS = {
+    **{f"h{k}": _heading(k) for k in range(1, 7)},
+    **dict.fromkeys(("strong", "b"), _between("**")), **dict.fromkeys(("em", "i"), _between("*")),
+    "p": _paragraph, "br": lambda node: [BREAK], "hr": lambda node: ["\n---\n\n"], "a": _link, "table": _grid,
+    "ul": _items(lambda: repeat("-")), "ol": _items(lambda: (f"{k}." for k in count(1))),
+    "blockquote": _quote, "pre": _fence, "code": _code,
+}
 
 
 def markdown(source: str) -> str:
     """Markdown of HTML."""
-    return _inner(parse(source)).strip().replace("\0", "\n")
-
-
-def _inner(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else _element(c) for c in node.children)
-
-
-def _listed(node: Node, mark) -> str:
-    items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-    return "".join(f"{mark(k)} {_inner(c).strip()}\n" for k, c in enumerate(items, 1)) + "\n"
-
-
-def _table(node: Node) -> str:
-    rows = [[c.text().strip() for c in r.find("th", "td")] for r in node.find("tr")]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]]) + "\n\n"
-
-
-def _element(node: Node) -> str:
-    """The Markdown of one element; a break travels as NUL until its paragraph's lines are joined."""
-    tag = node.tag
-    if re.fullmatch("h[1-6]", tag):
-        return f"\n{'#' * int(tag[1])} {_line(node.text())}\n\n"
-    if tag == "p":
-        text = _line(_inner(node)).replace("\0", "\n")
-        return f"{text}\n\n" if text else ""
-    if tag in ("br", "hr"):
-        return "\0" if tag == "br" else "\n---\n\n"
-    if tag in ("strong", "b", "em", "i"):
-        mark = "**" if tag in ("strong", "b") else "*"
-        return mark + _inner(node).strip() + mark
-    if tag == "a":
-        text, href = _line(node.text()), node.attrs.get("href", "")
-        return f"[{text}]({href})" if href else text
-    if tag == "ul":
-        return _listed(node, lambda _: "-")
-    if tag == "ol":
-        return _listed(node, lambda k: f"{k}.")
-    if tag == "blockquote":
-        return "\n".join("> " + x for x in _inner(node).strip().split("\n")) + "\n\n"
-    if tag == "pre":
-        code = next(node.find("code"), node)
-        return f"\n```\n{code.text()}\n```\n\n"
-    if tag == "code":
-        return "" if node.parent and node.parent.tag == "pre" else f"`{node.text()}`"
-    return _table(node) if tag == "table" else _inner(node)
+    return _written(_trimmed(_contents(parse(source))))

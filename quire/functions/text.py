@@ -104,12 +104,13 @@ def normalize(c: Column, nfc=None) -> Column:
 
 # ---- cleaning --------------------------------------------------------------------------------------
 
+#: Patterns of what cleaning removes (fixed values).
 PAGE_NUMBERS = (r"(?i)<p[^>]*>\s*-?\s*\d{1,4}\s*-?\s*</p>", r"(?i)<p[^>]*>\s*(?:page|p\.?|pg\.?)\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*</p>")
 ISBN = r"ISBN[-\s]?(?:13|10)?[\s:]*(?:\d[-\s]?){9,13}[\dXx]"
 LEGAL = tuple(rf"(?i)<p[^>]*>[^<]*{x}[^<]*</p>" for x in (r"(?:copyright|©|\(c\))", r"all\s+rights\s+reserved", r"published\s+by", r"printed\s+in"))
 DECORATIVE = r"(?i)<p[^>]*>\s*[*=\-_~#]{3,}\s*</p>"
-#: A short paragraph goes if it has a digit and at most four characters and is no capitalised word.
-ORPHAN = r"(?i)<p[^>]*>\s*([^<]{1,10})\s*</p>"
+#: A paragraph whose text, trimmed, has a digit and at most four characters goes, but not a capital with three more.
+ORPHAN = r"(?i:<p[^>]*>)\s*(?=[^<]*[0-9])(?![A-Z][^<]{2}[^<\s]\s*(?i:</p>))(?:[^<\s][^<]{0,2}[^<\s]|[^<\s])\s*(?i:</p>)"
 EMPTY = r"(?i)<(p|section|div)[^>]*>\s*</\1>"
 LEVELS = {"light": 0, "standard": 1, "aggressive": 2}
 
@@ -139,9 +140,8 @@ def decorative(c: Column) -> Column:
 
 
 def orphans(c: Column) -> Column:
-    """Removes tag-free paragraphs of one to four characters with a digit."""
-    short = r"(?i)<p[^>]*>\s*(?=[^<]{1,4}\s*</p>)(?![\s]*[^<\s][^<]{4,})(?=[^<]*\d)[^<]{1,10}</p>"
-    return F.regexp_replace(c, short, "")
+    """Removes tag-free paragraphs of one to four characters with a digit, unless four begin with a capital."""
+    return F.regexp_replace(c, ORPHAN, "")
 
 
 def empty_tags(c: Column) -> Column:
@@ -166,8 +166,8 @@ def clean(c: Column, level: str = "standard", patterns: Column | None = None) ->
     return empty_tags(c)
 
 
-def audit(c: Column, level: str = "standard") -> Column:
-    """What cleaning removes, in order: array of (type, removed); repeated texts are audited by their operator."""
+def audit(c: Column, level: str = "standard", patterns: Column | None = None) -> Column:
+    """What ``clean`` removes with the same arguments, in order: array of (type, removed)."""
     depth, parts = LEVELS[level], []
 
     def removed(kind: str, text: Column, pattern: str) -> Column:
@@ -183,16 +183,34 @@ def audit(c: Column, level: str = "standard") -> Column:
     parts.append(F.when(new != text, one).otherwise(F.slice(one, 1, 0)))
     text = new
     if depth >= 1:
+        if patterns is not None:
+            counted = repeated(text, patterns)
+            entries = F.transform(counted["found"], lambda x: F.array_repeat(F.struct(F.lit("repeated_pattern").alias("type"), x["text"].alias("removed")), x["n"]))
+            parts.append(F.flatten(entries))
+            text = counted["rest"]
         parts.append(removed("isbn", text, ISBN))
         text = isbn(text)
         for p in LEGAL:
             parts.append(removed("legal_credit", text, p))
             text = F.regexp_replace(text, p, "")
     if depth >= 2:
+        parts.append(removed("orphan_paragraph", text, ORPHAN))
         parts.append(removed("decorative", orphans(text), DECORATIVE))
     return F.concat(*parts)
 
 
+def repeated(c: Column, patterns: Column) -> Column:
+    """Struct of the text without the literal patterns, and how often each was deleted in turn (those of no text never)."""
+    none = F.array().cast("array<struct<text:string,n:int>>")
+
+    def step(state: Column, p: Column) -> Column:
+        rest = F.replace(state["rest"], p, F.lit(""))
+        n = F.when(F.length(p) > 0, (F.length(state["rest"]) - F.length(rest)) / F.length(p)).otherwise(0).cast("int")
+        return F.struct(rest.alias("rest"), F.concat(state["found"], F.array(F.struct(p.alias("text"), n.alias("n")))).alias("found"))
+
+    return F.aggregate(patterns, F.struct(c.alias("rest"), none.alias("found")), step)
+
+
 # ---- measures --------------------------------------------------------------------------------------
 
 

@@ -99,7 +99,7 @@ class Engine:
             docs = docs.join(patterns, "doc_id", "left")
         texts = F.coalesce("_patterns", F.array().cast("array<string>")) if patterns is not None else None
         cleaned = docs.withColumn("_before", F.col("html")).withColumn("html", X.clean(F.col("html"), c.level, texts))
-        audit = cleaned.select("doc_id", F.explode(X.audit(F.col("_before"), c.level)).alias("a")).select("doc_id", "a.*")
+        audit = cleaned.select("doc_id", F.explode(X.audit(F.col("_before"), c.level, texts)).alias("a")).select("doc_id", "a.*")
         cleaned = staged(cleaned.drop("_before", "_patterns"), "cleaned")
 
         cut = structure.blocks(cleaned, "doc_id", "html")

@@ -94,3 +94,15 @@ def test_normalising_twice_changes_nothing(spark, words):
     html = "<p>" + "</p>\n<p>".join(w.strip() for w in words) + "</p>"
     once = value(spark, X.normalize, html)
     assert value(spark, X.normalize, *once) == once
+
+
+def test_orphans_keep_capitalised_codes(spark):
+    cases = {"<p>A123</p>": "", "<p>B747</p>": "", "<p>Ab12</p>": "", "<p>x1   </p>": None, "<p>x 1</p>": None, "<p>A12</p>": None, "<p>7</p>": None, "<P> 12a </P>": None, "<p>abcde1</p>": "", "<p>abc</p>": "", "<p>a123</p>": None}
+    for html, gone in cases.items():
+        assert value(spark, X.orphans, html)[0] == ("" if gone is None else html), html
+
+
+def test_audit_of_all_kinds(spark):
+    html = "<p>42</p><p>Head</p><p>t</p><p>Head</p>\n\n\n\n<p>ISBN 9783161484100</p><p>(c) me</p><p>x1</p><p>***</p>"
+    got = value(spark, lambda c: X.audit(c, "aggressive", F.array(F.lit("Head"), F.lit(""))), html)[0]
+    assert [r["type"] for r in got] == ["page_number", "whitespace", "repeated_pattern", "repeated_pattern", "isbn", "legal_credit", "orphan_paragraph", "decorative"]

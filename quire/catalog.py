@@ -573,6 +573,17 @@ def q_chunks_full(spark, d):
     return chunking.chunks(_section_blocks(spark, d), "doc_id", options)
 
 
+@query(f"""WITH s AS (SELECT doc_id, seq, {trim_('content')} AS body, chapter, section, content FROM {SECTIONS} WHERE {trim_('content')} <> ''),
+  o AS (SELECT *, row_number() OVER w AS pos, lag(body) OVER w AS before FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY seq, content, chapter NULLS FIRST, section NULLS FIRST)),
+  x AS (SELECT *, string_split_regex(before, {q(r'[' + chr(92) + 's' + chr(92) + 'x{1c}-' + chr(92) + 'x{1f}' + chr(92) + 'x{85}' + chr(92) + 'x{a0}' + chr(92) + 'x{1680}' + chr(92) + 'x{2000}-' + chr(92) + 'x{200a}' + chr(92) + 'x{2028}' + chr(92) + 'x{2029}' + chr(92) + 'x{202f}' + chr(92) + 'x{205f}' + chr(92) + 'x{3000}]+')}) AS w FROM o)
+  SELECT doc_id, pos - 1 AS index, CASE WHEN before IS NULL THEN '' ELSE array_to_string(w[len(w) - least(ceil(len(w) / 10.0), 50)::INT + 1:], ' ') || chr(10) || chr(10) END || body AS content, chapter, section,
+  printf('chunk-%03d', pos) AS chunk_id, count(*) OVER (PARTITION BY doc_id) AS total FROM x""")
+def q_chunks_whole_sections(spark, d):
+    """Chunks of bounds that every section fits: each section begins with the words that the one before leaves."""
+    options = chunking.ChunkOptions(max_tokens=1 << 30, target_tokens=1 << 30, overlap="fixed")
+    return chunking.chunks(_section_blocks(spark, d), "doc_id", options).drop("token_count", "overlap_tokens")
+
+
 @query()
 def q_chunks_fixed_overlap(spark, d):
     options = chunking.ChunkOptions(min_tokens=60, max_tokens=120, target_tokens=90, overlap="fixed", preserve_structures=False)
@@ -676,7 +687,13 @@ def q_export_txt(spark, d):
     return body.select("doc_id", F.concat(F.regexp_replace("body", f"{X.WS}+$", ""), F.lit(" ")).alias("body")).select("doc_id", F.regexp_replace("body", f"{X.WS}+", " ").alias("body"))
 
 
-@query()
+_json_field = lambda name, v: f"CASE WHEN {v} IS NULL THEN '' ELSE ',\"{name}\":' || to_json({v})::VARCHAR END"
+
+
+@query(f"""SELECT chunk_key, '{{' || substr({_json_field('text', 'content')} || {_json_field('chunk_id', 'chunk_id')} || {_json_field('token_count', 'token_count')}
+  || ',"metadata":{{' || substr({_json_field('title', 'm.title')} || {_json_field('chapter', 'chapter_title')} || {_json_field('section', 'section_title')}
+  || ',"position":{{' || substr({_json_field('index', 'position_index')} || {_json_field('total', 'position_total')}, 2) || '}}', 2) || '}}'
+  || {_json_field('ocr_confidence', 'CASE WHEN m.is_scanned THEN m.ocr_confidence END')}, 2) || '}}' AS line FROM {CHUNKS} c LEFT JOIN {NEWEST} m USING (doc_id)""")
 def q_export_jsonl(spark, d):
     rows = chunk_rows(spark, d).withColumnsRenamed({"chapter_title": "chapter", "section_title": "section", "position_index": "index", "position_total": "total"})
     m = metadata(spark, d).select("doc_id", "title", "is_scanned", "ocr_confidence")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quire.functions import html as H
 from quire.functions import ocr_rules
-from quire.functions.constants import ABBREVIATIONS
+from quire.functions.constants import ABBREVIATIONS, LEAST_LEAD, LEAST_SHARE, LEAST_WORDS, STOPWORDS
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 FIXED = T.StructType([T.StructField("text", T.StringType()), T.StructField("layer1", T.IntegerType()), T.StructField("layer2", T.IntegerType())])
@@ -133,7 +133,25 @@ fix_ocr = _scalar(fix_recognised, FIXED)
 n_sentences = _scalar(lambda s: len(split_sentences(s)), T.IntegerType())
 
 
+_token, _white = re.compile(r"[^\W\d_]+|\d{1,3}|[^\s\w]|_"), re.compile(r"[\s\ufeff]+")
+_tags = re.compile(r"<[^>]+>")
+
+
+def language_of(text: str) -> str:
+    """The language of frequent words, or unknown; as ``text.language_scores``."""
+    found = [w for w in _white.split(_tags.sub("", text).lower()) if w]
+    if len(found) < LEAST_WORDS:
+        return "unknown"
+    (best, name), (second, _) = sorted(((sum(w in words for w in found) / len(found), k) for k, words in _stopwords.items()), key=lambda x: -x[0])[:2]
+    return name if best >= LEAST_SHARE and best - second >= LEAST_LEAD else "unknown"
+
+
+_stopwords = {k: frozenset(words) for k, words in STOPWORDS.items()}
+count_tokens = _scalar(lambda s: len(_token.findall(s)), T.IntegerType())
+detect_language = _scalar(language_of, T.StringType())
+
+
 def register_sql(spark) -> None:
     """Makes the functions known to SQL by name."""
-    for name, f in {"nfc": nfc, "html_to_markdown": html_to_markdown, "html_to_standard": html_to_standard, "split_sentences": sentences, "fix_ocr": fix_ocr}.items():
+    for name, f in {"count_tokens": count_tokens, "detect_language": detect_language, "nfc": nfc, "html_to_markdown": html_to_markdown, "html_to_standard": html_to_standard, "split_sentences": sentences, "fix_ocr": fix_ocr}.items():
         spark.udf.register(name, f)

@@ -31,6 +31,7 @@ cgao\b		ção
 cgdes\b		ções
 g¢ao\b		ção
 cg&o\b		ção
+(ã)do\b	i	$1ão
 \bvocé\b		você
 \bVocé\b		Você
 \bvocê\b		você

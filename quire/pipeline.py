@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from quire.functions.constants import PRESETS
 from quire.operators import cache, chunking, export, quality, structure
 from quire.plans import ship, spread, staged
 from quire.sources import extract_files, extracted, read_files
+from quire.sources.ocr import assemble_pages, rasterise, recognise
 
 
 @dataclass(frozen=True)
@@ -66,19 +68,38 @@ FIELDS = {
 
 
 class Engine:
-    """Runs a configuration; every result is a lazy DataFrame keyed by ``doc_id``."""
+    """Runs a configuration; results are DataFrames keyed by ``doc_id``, computed up to the sections when asked for.
 
-    def __init__(self, spark: SparkSession, config: Config = Config()):
-        self.spark, self.config = ship(spark), config
+    ``rasterizer`` and ``ocr`` make the providers that read scanned PDFs; without them these end as errors.
+    ``progress`` is called with a stage's name and the share that is done.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config = Config(), rasterizer=None, ocr=None, progress: Callable[[str, float], None] = lambda stage, share: None):
+        self.spark, self.config, self.rasterizer, self.ocr, self.progress = ship(spark), config, rasterizer, ocr, progress
 
     def files(self, path: str, recursive: bool = False) -> Result:
-        """All known files of a folder; files that cannot be read are in ``errors``, never fatal."""
-        rows = spread(read_files(self.spark, path, recursive))
+        """All known files of a folder, known by extension or first bytes; files that cannot be read are in ``errors``, never fatal."""
+        rows = spread(read_files(self.spark, path, recursive, sniff=True))
         good, bad = extracted(staged(extract_files(rows), "extracted"))
-        result = self.html(good.withColumn("doc_id", F.xxhash64("path")).withColumn("is_scanned", F.lit(False)))
+        self.progress("extracted", 0.3)
+        good = good.withColumn("doc_id", F.xxhash64("path")).withColumn("is_scanned", F.lit(False))
+        if self.rasterizer and self.ocr:
+            pages, bad = self.scanned(rows, bad)
+            good = good.unionByName(pages, allowMissingColumns=True)
+        result = self.html(good)
         result.errors = bad.select("path", "error_code", "error_message")
         return result
 
+    def scanned(self, rows: DataFrame, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(documents of scanned files, errors that are left): those of ``bad`` that the providers can read."""
+        some = rows.join(bad.filter(F.col("error_code") == "SCANNED_PDF").select("path"), "path", "left_semi").withColumn("doc_id", F.xxhash64("path"))
+        read = staged(assemble_pages(recognise(rasterise(some, self.rasterizer), self.ocr)).filter("html is not null"), "recognised")
+        named = bad.withColumn("doc_id", F.xxhash64("path"))
+        pages = named.drop("html", "page_count", "source_format", "error_code", "error_message").join(read, "doc_id")
+        engine = getattr(self.ocr, "name", None) or getattr(self.ocr, "__name__", "ocr")
+        pages = pages.drop("failed_pages").withColumns({"title": F.coalesce("title", "name"), "source_format": F.lit("pdf"), "is_scanned": F.lit(True), "ocr_engine": F.lit(engine)})
+        return pages, named.join(read.select("doc_id"), "doc_id", "left_anti")
+
     def html(self, rows: DataFrame) -> Result:
         """Documents of (doc_id, html) and any of the metadata fields; missing ones are null.
 
@@ -94,6 +115,7 @@ class Engine:
         docs = docs.filter(~scanned).unionByName(fixed)
         docs = docs.withColumn("html", X.normalize(F.col("html"), A.nfc))
         docs = staged(docs, "normalised")
+        self.progress("normalised", 0.5)
         patterns = self._patterns(docs) if c.level != "light" else None
         if patterns is not None:
             docs = docs.join(patterns, "doc_id", "left")
@@ -101,6 +123,7 @@ class Engine:
         cleaned = docs.withColumn("_before", F.col("html")).withColumn("html", X.clean(F.col("html"), c.level, texts))
         audit = cleaned.select("doc_id", F.explode(X.audit(F.col("_before"), c.level, texts)).alias("a")).select("doc_id", "a.*")
         cleaned = staged(cleaned.drop("_before", "_patterns"), "cleaned")
+        self.progress("cleaned", 0.7)
 
         cut = structure.blocks(cleaned, "doc_id", "html")
         found = structure.headings(cut, "doc_id")
@@ -109,6 +132,7 @@ class Engine:
         tree = tree.withColumn("content", A.html_to_markdown("html")).withColumn("m", X.section_measures(F.col("content")))
         sections = tree.select("doc_id", "seq", "id", "level", F.col("text").alias("title"), "content", "parent_seq", "depth", "chapter", "section", "m.*")
         sections = staged(sections, "sections")
+        self.progress("sections", 1.0)
 
         detected = X.language_scores(F.col("html"))["language"]
         first = sections.filter("seq = 1").select("doc_id", F.col("title").alias("_first"))

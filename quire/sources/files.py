@@ -20,18 +20,19 @@ RESULT = T.StructType(
 )
 
 
-def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, sniff: bool = False) -> DataFrame:
     """(path, name, extension, size, sha256, content): the files below a folder that have a known extension.
 
-    Files of unknown extension are kept too where ``glob`` names them, for the look at their first bytes.
-    The filter on the path comes before any Python, so other files are not read.
+    Files of unknown extension are kept too where ``glob`` names them, or, with ``sniff``, where their first bytes show
+    a known format.  The filter comes before any Python; without ``sniff`` other files are not read.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     extension = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     if not glob:
-        files = files.filter(extension.isin(*FORMATS))
+        shown = format_of(F.lit(""), F.decode(F.substring("content", 1, 68), "ISO-8859-1")).isNotNull()
+        files = files.filter(extension.isin(*FORMATS) | shown if sniff else extension.isin(*FORMATS))
     return files.select("path", name.alias("name"), extension.alias("extension"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
 
 

@@ -76,6 +76,11 @@ def resolve(extension: str, content: bytes) -> str:
     raise UnsupportedFormat(f"unknown format {extension!r}")
 
 
+def supported() -> list[str]:
+    """The known extensions, sorted."""
+    return sorted(FORMATS)
+
+
 def extract(content: bytes, name: str, extension: str) -> Document:
     return EXTRACTORS[resolve(extension, content)](content, name, extension)
 
@@ -210,40 +215,53 @@ def palmdoc(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Fields of the first record: offset and layout (fixed values of the format).
+MOBI_FIELDS = {"compression": (0, ">H"), "length": (4, ">I"), "texts": (8, ">H"), "title at": (84, ">I"), "title size": (88, ">I"), "locale": (100, ">I")}
+EXTH_AUTHOR = 100
+
+
+def _mobi_records(content: bytes) -> list[bytes]:
+    """The records of a Palm database: a count at 76, then entries of eight bytes that begin with an offset."""
+    if len(content) < 78:
+        raise ExtractionError("file too small")
+    (many,) = struct.unpack_from(">H", content, 76)
+    edges = [at for at, _ in struct.iter_unpack(">II", content[78 : 78 + 8 * many])] + [len(content)]
+    return [content[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _mobi_fields(head: bytes) -> dict[str, int]:
+    named = head[16:20] == b"MOBI" and len(head) >= 132
+    return {n: struct.unpack_from(layout, head, at)[0] for n, (at, layout) in MOBI_FIELDS.items() if at < 16 or named}
+
+
+def _exth(head: bytes):
+    """(kind, value) of the extended header's entries, as far as they are whole."""
+    _, found, rest = head.partition(b"EXTH")
+    many, rest = (int.from_bytes(rest[4:8]), rest[8:]) if found and len(rest) >= 8 else (0, b"")
+    while many and len(rest) >= 8:
+        kind, size = struct.unpack_from(">II", rest)
+        if not 8 <= size <= len(rest):
+            return
+        yield kind, rest[8:size]
+        many, rest = many - 1, rest[size:]
+
+
 @register("mobi")
 def read_mobi(content: bytes, name: str, extension: str) -> Document:
     try:
-        if len(content) < 78:
-            raise ExtractionError("file too small")
-        (many,) = struct.unpack_from(">H", content, 76)
-        starts = [struct.unpack_from(">I", content, 78 + 8 * k)[0] for k in range(many)] + [len(content)]
-        records = [content[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        head = records[0]
-        compression, length, count = struct.unpack_from(">H", head, 0)[0], struct.unpack_from(">I", head, 4)[0], struct.unpack_from(">H", head, 8)[0]
-        title = author = language = None
-        if len(head) >= 132 and head[16:20] == b"MOBI":
-            at, size = struct.unpack_from(">II", head, 84)
-            title = head[at : at + size].decode("utf-8", "replace") if at + size <= len(head) else None
-            language = LOCALES.get(struct.unpack_from(">I", head, 100)[0] & 0xFF)
-        exth = head.find(b"EXTH")
-        if exth >= 0 and exth + 12 <= len(head):
-            at = exth + 12
-            for _ in range(struct.unpack_from(">I", head, exth + 8)[0]):
-                if at + 8 > len(head):
-                    break
-                kind, size = struct.unpack_from(">II", head, at)
-                if size < 8 or at + size > len(head):
-                    break
-                author = head[at + 8 : at + size].decode("utf-8", "replace") if kind == 100 else author
-                at += size
-        texts = records[1 : min(count, len(records) - 1) + 1]
-        source = b"".join(map(palmdoc, texts) if compression == 2 else texts)[:length].decode("utf-8", "replace")
+        head, *texts = _mobi_records(content)
+        fields = _mobi_fields(head)
+        texts = texts[: fields["texts"]]
+        source = b"".join(map(palmdoc, texts) if fields["compression"] == 2 else texts)[: fields["length"]]
     except ExtractionError:
         raise
     except Exception as e:
         raise ExtractionError(f"MOBI: {e}") from e
-    inner = standard_html(source, {"script", "style", "mbp:pagebreak", "mbp:nu", "mbp:section"}, ("style", "class", "align", "width", "height"))[0]
-    return Document(article(inner), title or name, author, language, source_format=extension.lower().lstrip(".") or "mobi", warnings=[] if inner else ["MOBI document produced no extractable content"])
+    at, size = fields.get("title at", 0), fields.get("title size", 0)
+    title = head[at : at + size].decode("utf-8", "replace") if at + size <= len(head) else None
+    author = next((v.decode("utf-8", "replace") for k, v in reversed([*_exth(head)]) if k == EXTH_AUTHOR), None)
+    inner = standard_html(source.decode("utf-8", "replace"), {"script", "style", "mbp:pagebreak", "mbp:nu", "mbp:section"}, ("style", "class", "align", "width", "height"))[0]
+    return Document(article(inner), title or name, author, LOCALES.get(fields.get("locale", 0) & 0xFF), source_format=extension.lower().lstrip(".") or "mobi", warnings=[] if inner else ["MOBI document produced no extractable content"])
 
 
 # ---- PDF -------------------------------------------------------------------------------------------
@@ -301,4 +319,4 @@ def read_pdf(content: bytes, name: str, extension: str) -> Document:
     return Document(article(paragraphs(text)), info.get("Title") or name, info.get("Author"), None, pages, "pdf", warnings)
 
 
-__all__ = ["DROPPED", "EXTRACTORS", "Document", "ExtractionError", "ScannedPdf", "UnsupportedFormat", "extract", "register", "resolve"]
+__all__ = ["DROPPED", "EXTRACTORS", "Document", "ExtractionError", "ScannedPdf", "UnsupportedFormat", "extract", "register", "resolve", "supported"]

@@ -24,6 +24,30 @@ class OcrProvider(Protocol):
     def terminate(self) -> None: ...
 
 
+class Rasterizer(Protocol):
+    def pages(self, content: bytes) -> Iterator[bytes]: ...
+
+
+def rasterise(files: DataFrame, provider: Callable[[], Rasterizer]) -> DataFrame:
+    """(doc_id, page_number, image) of (doc_id, content); one page at a time, as page images are large.
+
+    A file whose pages cannot be read has one row of a null image, for the page where it fails.
+    """
+
+    def images(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = provider()
+        for frame in frames:
+            for doc, content in zip(frame["doc_id"], frame["content"], strict=True):
+                number = 0
+                try:
+                    for number, image in enumerate(engine.pages(content), 1):
+                        yield pd.DataFrame({"doc_id": [doc], "page_number": [number], "image": [image]})
+                except Exception:
+                    yield pd.DataFrame({"doc_id": [doc], "page_number": [number + 1], "image": [None]})
+
+    return files.select("doc_id", "content").mapInPandas(images, "doc_id bigint, page_number int, image binary")
+
+
 def recognise(images: DataFrame, provider: Callable[[], OcrProvider], threshold: float = LOW_CONFIDENCE) -> DataFrame:
     """Page rows of (doc_id, page_number, image); one provider for each task, one row for each page.
 

@@ -46,7 +46,11 @@ def process_new_files(engine: Engine, path: str, done: str, checkpoint: str, sin
                 raise
         files = staged(extract_files(rows), "batch")
         good, bad = extracted(files)
-        result = engine.html(good.withColumn("doc_id", F.xxhash64("sha256")).withColumn("is_scanned", F.lit(False)))
+        good = good.withColumn("doc_id", F.xxhash64("path")).withColumn("is_scanned", F.lit(False))
+        if engine.rasterizer and engine.ocr:
+            pages, bad = engine.scanned(rows, bad)
+            good = good.unionByName(pages, allowMissingColumns=True)
+        result = engine.html(good.withColumn("doc_id", F.xxhash64("sha256")))
         result.errors = bad.select("path", "error_code", "error_message")
         sink(result, number)
         files.select("sha256").write.mode("append").parquet(done)

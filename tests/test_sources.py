@@ -5,6 +5,7 @@ import zlib
 
 import pytest
 
+from quire.functions import arrow as A
 from quire.pipeline import Config, Engine
 from quire.sources import assemble_pages, formats, recognise
 from quire.sources.formats import palmdoc, rtf_text
@@ -167,3 +168,36 @@ def test_cache(spark, tmp_path):
     assert todo.count() == 0
 
 
+
+
+class Raster:
+    def pages(self, content):
+        yield from (b"First page of it.", b"two")
+        if b"broken" in content:
+            raise ValueError("no such page")
+
+
+def test_scanned_files_are_read_by_the_providers(spark, landing):
+    empty = b"%PDF-1.4\n1 0 obj << /Type /Page >> endobj\n%%EOF"
+    (landing / "scan.pdf").write_bytes(empty)
+    (landing / "half.pdf").write_bytes(empty + b"broken")
+    (landing / "book").write_bytes(b"{\\rtf1 Words of a file without extension.}")
+    without = {r["path"].rsplit("/", 1)[1]: r["error_code"] for r in Engine(spark).files(str(landing)).errors.collect()}
+    assert without == {"c.pdf": "EXTRACTION_FAILED", "scan.pdf": "SCANNED_PDF", "half.pdf": "SCANNED_PDF"}
+    told = []
+    result = Engine(spark, rasterizer=Raster, ocr=Provider, progress=lambda stage, share: told.append((stage, share))).files(str(landing))
+    assert [r["error_code"] for r in result.errors.collect()] == ["EXTRACTION_FAILED"]
+    docs = {r["title"]: r for r in result.documents.collect()}
+    assert set(docs) == {"a.txt", "T", "scan.pdf", "half.pdf", "book"} and not docs["a.txt"]["is_scanned"]
+    scan = docs["scan.pdf"]
+    assert (scan["is_scanned"], scan["ocr_confidence"], scan["page_count"], scan["source_format"], scan["ocr_engine"]) == (True, 70.0, 2, "pdf", Provider.name)
+    assert "First page of it." in scan["html"] and docs["half.pdf"]["page_count"] == 3
+    assert told[-1] == ("sections", 1.0) and [s for _, s in told] == sorted(s for _, s in told)
+
+
+def test_sql_names(spark):
+    A.register_sql(spark)
+    row = spark.sql("select count_tokens('One 12345, two'), detect_language('the board of the archive keeps all of it for the people who read there'), detect_language('x'), count_tokens(null)").first()
+    assert tuple(row) == (5, "en", "unknown", None)
+    assert formats.supported() == sorted(formats.supported()) and ".pdf" in formats.supported()
+    assert A.fix_recognised("irmãdo fãdo")["text"] == "irmãão fãão"

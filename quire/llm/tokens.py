@@ -16,6 +16,7 @@ import base64
 import math
 import os
 import unicodedata
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,8 @@ TOKENIZERS = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Segments remembered by a worker before it starts afresh.
 KEEP = 400_000
-#: Longest stretch of bytes scored at once; longer segments are cut at character starts.
-STRETCH = 192
+#: Bytes of a segment from which its path is found by itself, and places that segments in lockstep hold together.
+LONG, CELLS = 4096, 1 << 22
 
 
 class DoubleArray:
@@ -49,6 +50,7 @@ class DoubleArray:
         used[0] = 1
         self.check[0] = 0
         self.depth = max(map(len, order), default=0)
+        self._lists: tuple[list, list, list] | None = None
         free = 1
         while nodes:
             first, last, depth, state = nodes.pop()
@@ -91,28 +93,44 @@ class DoubleArray:
 
     def counts(self, segments: list[bytes]) -> np.ndarray:
         """The number of pieces on each segment's path of best score, all segments in lockstep."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
         out = np.zeros(len(segments), np.int64)
-        parts: list[bytes] = []
-        owner: list[int] = []
-        for k, s in enumerate(segments):
-            while len(s) > STRETCH:
-                cut = STRETCH
-                while cut > STRETCH - 4 and s[cut] & 0xC0 == 0x80:
-                    cut -= 1
-                parts.append(s[:cut])
-                owner.append(k)
-                s = s[cut:]
-            parts.append(s)
-            owner.append(k)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
         order = np.argsort(size, kind="stable")
-        got = np.zeros(len(parts), np.int64)
-        for low in range(0, len(parts), 20_000):
-            mine = order[low : low + 20_000]
-            got[mine] = self._lockstep([parts[i] for i in mine], size[mine])
-        np.add.at(out, np.asarray(owner, np.int64), got)
+        low, short = 0, int(np.searchsorted(size[order], LONG, "right"))
+        while low < short:
+            high = min(low + 20_000, short)
+            while (high - low) * int(size[order[high - 1]]) > CELLS and high > low + 1:
+                high = low + max(1, (high - low) // 2)
+            mine = order[low:high]
+            out[mine] = self._lockstep([segments[i] for i in mine], size[mine])
+            low = high
+        for i in order[short:]:
+            out[i] = self._alone(segments[i])
         return out
 
+    def _alone(self, s: bytes) -> int:
+        """The number of pieces on the best path of one segment of any length; only the last places are kept."""
+        if self._lists is None:
+            self._lists = self.base.tolist(), self.check.tolist(), self.score.tolist()
+        base, check, score = self._lists
+        n, depth, none = len(s), self.depth, -math.inf
+        ahead = deque([(0.0, 0)] + [(none, 0)] * depth)  # the best score and its pieces at this place and the next ones
+        for i in range(n):
+            here, many = ahead.popleft()
+            ahead.append((none, 0))
+            if here == none:
+                continue
+            state = 0
+            for k in range(i, min(n, i + depth)):
+                to = base[state] + s[k] + 1
+                if check[to] != state:
+                    break
+                state = to
+                total = here + score[state]
+                if total > ahead[k - i][0]:
+                    ahead[k - i] = (total, many + 1)
+        return ahead[0][1] if ahead[0][0] > none else n
+
     def _lockstep(self, parts: list[bytes], size: np.ndarray) -> np.ndarray:
         n, width = len(parts), int(size.max()) if len(parts) else 0
         text = np.zeros((width, n), np.uint8)

@@ -1,3 +1,4 @@
+import random
 import base64
 import sys
 import unicodedata
@@ -117,3 +118,26 @@ def test_texts_and_back():
     assert len(whole) == 3 and whole.valid.tolist() == [False, True, True]
     spans = V.Spans(whole.cp).of(np.array([0, 3]), np.array([2, 5]))
     assert spans[0] == spans[1] == V.hash_of("ab")
+
+
+def test_long_segments_have_the_best_path(monkeypatch):
+    """Segments of any length are scored whole, in lockstep or alone, as the plain recursion scores them."""
+    rng = random.Random(5)
+    pieces = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))).encode(): -rng.random() * 9 for _ in range(60)} | {c.encode(): -6.0 for c in "abc"}
+    trie = tokens.DoubleArray(pieces)
+
+    def plain(s: bytes) -> int:
+        best = [(0.0, 0)]
+        for j in range(1, len(s) + 1):
+            best.append(max(((best[i][0] + pieces[s[i:j]], -(best[i][1] + 1)) for i in range(max(0, j - 5), j) if s[i:j] in pieces), default=(-1e30, 0)))
+            best[-1] = (best[-1][0], -best[-1][1])
+        return best[-1][1]
+
+    long = ["".join(rng.choice("abc") for _ in range(n)).encode() for n in (10, 300, 700, 1500, 4000)]
+    want = [plain(s) for s in long]
+    assert trie.counts(long).tolist() == want
+    monkeypatch.setattr(tokens, "LONG", 200)
+    assert trie.counts(long).tolist() == want
+    monkeypatch.setattr(tokens, "LONG", 4096)
+    monkeypatch.setattr(tokens, "CELLS", 1000)
+    assert trie.counts(long).tolist() == want

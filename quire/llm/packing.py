@@ -263,9 +263,10 @@ def pack(sizes: DataFrame, targets: list[tuple[int, int]], key: str = "doc_id",
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("target_id"), F.lit(c).alias("capacity")) for t, c in targets])).alias("t")
     base = sizes.select(F.col(key).cast("bigint").alias("k"), F.col(size).cast("bigint").alias("n")).filter("k is not null and n > 0").select("k", "n", each).select("k", "n", "t.*")
     whole = F.floor(F.col("n") / F.col("capacity"))
-    # parts that fill a container by themselves: their container is named by text and part
+    # parts that fill a container by themselves: their containers are numbered below zero, once, in a written table
     full = base.filter("n >= capacity").select("target_id", "k", F.explode(F.sequence(F.lit(1).cast("bigint"), whole)).alias("p"), "capacity")
-    full = full.select("target_id", (-F.pmod(F.xxhash64("k", "p"), F.lit(1 << 62)) - 1).alias("container"), F.col("k").alias(key), (F.col("p") - 1).cast("int").alias("part"), F.col("capacity").cast("int").alias("tokens"))
+    full = full.select("target_id", (-F.monotonically_increasing_id() - 1).alias("container"), F.col("k").alias(key), (F.col("p") - 1).cast("int").alias("part"), F.col("capacity").cast("int").alias("tokens"))
+    full = staged(full, "full")
     items = base.select("target_id", "capacity", "k", whole.cast("int").alias("part"), (F.col("n") % F.col("capacity")).cast("int").alias("s")).filter("s > 0")
     histogram: dict[int, dict[int, int]] = defaultdict(dict)
     for r in items.groupBy("target_id", "s").count().collect():  # at most one row for each size below each capacity

@@ -7,7 +7,7 @@ and where several seeds of one item fall close together, a Smith-Waterman alignm
 item's words with that stretch of the document says which of the item's sentences are there.
 Pairs are aligned in blocks, one array operation for a whole block.
 
-The items are a fixed test suite (``MAX_ITEM_WORDS`` words at most, checked); their words,
+The items are a fixed test suite (``MAX_ITEM_CHARACTERS`` at a time; larger ones are looked for in several runs); their words,
 sequences and counts are what is broadcast.  Nothing of the documents is shuffled.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from quire.llm import vector as V
 from quire.llm.forms import CYRILLIC, GREEK, LATIN, script_tables
 from quire.plans import read_table, spread
 
-MAX_ITEM_WORDS = 2_000_000
+#: Characters of test items that are broadcast at a time.
+MAX_ITEM_CHARACTERS = 10_000_000
 GRAM = 3
 #: A sequence is rare if at most this share of the documents has it; each sentence's ``KEEP`` rarest count anyway.
 RARE_SHARE, KEEP = 0.005, 8
@@ -112,8 +113,6 @@ def prepare(rows: list[tuple[object, str | None]]) -> Items:
         ids.append(key)
         words.append(np.concatenate(got))
         sentence.append(np.repeat(np.arange(len(got)), [len(x) for x in got]))
-    if sum(map(len, words)) > MAX_ITEM_WORDS:
-        raise ValueError("the test items hold too many words to be broadcast; look for them in several runs")
     none = np.zeros(0, np.uint64)
     return Items(ids, words, sentence, np.unique(np.concatenate([none, *words])), np.unique(np.concatenate([none, *map(grams_of, words)])))
 
@@ -222,11 +221,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text:
     sentence cannot leak.  Every document is read whole, twice (counts, then seeds); only pairs that pass
     the seeds are aligned.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
     docs = spread(docs.select(F.col(doc_key).cast("bigint").alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null"))
     rows = items.select(F.col(item_key).cast("bigint"), F.col(item_text)).distinct().collect()  # a fixed test suite
-    known = prepare([tuple(r) for r in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or ""))])
+    # what is broadcast is bounded: more items than that are looked for in as many runs as they need
+    runs, size = [[]], 0
+    for r in sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0], r[1] or "")):
+        size += len(r[1] or "")
+        if size > MAX_ITEM_CHARACTERS and runs[-1]:
+            runs.append([])
+            size = len(r[1] or "")
+        runs[-1].append(r)
+    found = [_leaks(docs, run, item_key, doc_key) for run in runs]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks(docs: DataFrame, rows: list[tuple], item_key: str, doc_key: str) -> DataFrame:
+    spark = docs.sparkSession
+    sc = spark.sparkContext
+    known = prepare(rows)
     shared = sc.broadcast(known)
     n_docs, seen, gram_seen = 0, np.zeros(len(known.unigrams), np.int64), np.zeros(len(known.grams), np.int64)
     if known.ids:
@@ -298,7 +310,9 @@ def _search(known: Items, table, group, of_item, bits, rare, words, row) -> list
     jobs = []
     for c, n in zip(cut[size >= SEEDS], size[size >= SEEDS], strict=True):
         k, r, a, b = item[c], row[where[c]], where[c], where[c + n - 1]
-        jobs.append((k, r, max(starts[r], a - long[k]), min(starts[r + 1], b + long[k] + GRAM)))
+        first, last, reach = max(starts[r], a - long[k]), min(starts[r + 1], b + long[k] + GRAM), 2 * (long[k] + GRAM)
+        # a chain of seeds of any length is aligned in stretches that overlap by twice the item
+        jobs += [(k, r, x, min(x + 2 * reach, last)) for x in range(first, max(first + 1, last - reach), reach)]
     jobs.sort(key=lambda j: j[3] - j[2])
     found = []
     for low in range(0, len(jobs), BLOCK):

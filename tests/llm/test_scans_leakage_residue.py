@@ -258,3 +258,17 @@ def test_next_page_of_groups(spark):
     order = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], -1 if r[2] is None else r[2], r[0]))
     want = {r[0]: None for r in rows} | {a[0]: b[0] for a, b in zip(order[:-1], order[1:], strict=True) if a[1] == b[1]}
     assert got == want
+
+
+def test_leaks_in_runs_and_long_chains(spark, monkeypatch):
+    """Test items in several runs, and a document that repeats a passage very often, give what one run gives."""
+    rng = random.Random(9)
+    item = lambda: " ".join("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(9)).capitalize() + "."
+    items = [(k, " ".join(item() for _ in range(3))) for k in range(4)]
+    docs = [(10, "Some words before. " + items[0][1] + " Some after."), (11, (items[1][1] + " ") * 300), (12, "Nothing of it here at all."), (13, items[2][1].upper() + " " + items[3][1])]
+    a = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: {(r["item_id"], r["doc_id"]) for r in leakage.find_leaks(a, b).collect()}
+    assert found() == {(0, 10), (1, 11), (2, 13), (3, 13)}
+    monkeypatch.setattr(leakage, "MAX_ITEM_CHARACTERS", 400)
+    assert found() == {(0, 10), (1, 11), (2, 13), (3, 13)}

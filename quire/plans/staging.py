@@ -37,12 +37,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it; a temporary one only in local mode."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + os.path.join(tempfile.gettempdir(), f"{_RUN}-shared")
-        spark.conf.set("spark.quire.shared.dir", conf)
-    return conf
+    if conf:
+        return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"{_RUN}-shared")
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged so far in this session, once their results are written; returns how many.
+
+    A long session calls this between jobs; what is left goes at exit.
+    """
+    mine = [x for x in _written if x[0] is spark]
+    for item in mine:
+        _delete(*item)
+        _written.remove(item)
+    return len(mine)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -58,9 +77,7 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder's owner clears it
             return
 

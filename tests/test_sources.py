@@ -201,3 +201,11 @@ def test_sql_names(spark):
     assert tuple(row) == (5, "en", "unknown", None)
     assert formats.supported() == sorted(formats.supported()) and ".pdf" in formats.supported()
     assert A.fix_recognised("irmãdo fãdo")["text"] == "irmãão fãão"
+
+
+def test_staged_tables_are_released(spark):
+    from quire.plans import release, staged
+
+    release(spark)
+    rows = staged(spark.range(5), "t")
+    assert rows.count() == 5 and release(spark) == 1 and release(spark) == 0

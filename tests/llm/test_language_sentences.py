@@ -99,6 +99,43 @@ def test_short_paragraphs_without_marks_are_cut_by_a_chain():
     assert sentences.split(cut, pa.array([pool[2] + pool[0]], pa.large_string()))[2].tolist() == [24]
 
 
+def test_models_learn_from_all_texts_of_a_large_table(spark):
+    """An abbreviation that only texts of the greatest hashes hold is known, whatever the layout; repeats count once."""
+    rng = np.random.default_rng(3)
+    pool = ["The parser checks page {} of the ledger.", "The board left the hall at noon.", "Nothing else came in box {} of the cellar.", "It ended well."]
+    plain = [(" ".join(pool[x] for x in rng.permutation(4)).format(k, k + 1),) for k in range(5400)]
+    rare = spark.createDataFrame([(f"The clerk met Prov. Lunmar in room {k} of the cellar. It ended well.",) for k in range(2000)], "t string")
+    last = [(r["t"],) for r in rare.orderBy(F.xxhash64("t").desc()).limit(60).collect()]
+    df = spark.createDataFrame([*plain, *last, *last[:5]], "t string")
+    models = [sentences.fit_texts(x, "t") for x in (df.coalesce(1), df.union(df).repartition(7))]
+    for a, b in zip(*(dataclasses.astuple(m) for m in models), strict=True):
+        assert np.array_equal(a, b)
+    got = sentences.with_sentences(df, "t").filter("t like '%Prov.%'").select(F.size("sentences").alias("n")).collect()
+    assert len(got) == 65 and {r["n"] for r in got} == {2}
+
+
+def test_tables_without_texts_or_marks(spark):
+    for rows in ([], [(None,), ("",), (" \n",)], [("no mark at all",), ("目録",)]):
+        got = sentences.with_sentences(spark.createDataFrame(rows, "t string"), "t").collect()
+        assert [None if r["sentences"] is None else len(r["sentences"]) for r in got] == [None if t is None else int(bool(t.strip())) for (t,) in rows]
+
+
+def test_the_second_chain_learns_from_all_paragraphs():
+    pools = [["图书馆员每天早上检查目录", "修复的手稿保留着页边注释", "编辑悄悄改正了索引的错误"], ["ねこはにわでねむっていた", "いぬはかわをわたってきた", "とりはそらをたかくとんだ"]]
+    rng = np.random.default_rng(7)
+    texts = ["".join(pools[n >= 310][k] + "。" for k in rng.permutation(3)) for n in range(620)]
+    _, _, end = sentences.split(sentences.fit(texts), pa.array(["".join(pools[1][k] for k in (2, 0, 1))], pa.large_string()))
+    assert end.tolist() == [12, 24, 36]
+
+
+def test_evidence_needs_more_points_in_more_shards():
+    """A name that misses the ends of paragraphs by chance is no abbreviation in a large table; a rare slip does not hide one."""
+    kind, key = np.array([sentences.ALL, sentences.WORD, sentences.WORD, sentences.WORD]), np.array([sentences.POINTS, 11, 12, 13], np.uint64)
+    there, against = np.array([10_000, 9, 500, 500]), np.array([2_700, 0, 1, 90])
+    assert sentences.evidence(kind, key, there, against).abbreviations.tolist() == [11, 12]
+    assert sentences.evidence(kind, key, there, against, 40).abbreviations.tolist() == [12]
+
+
 def test_unknown_languages_are_rejected(spark):
     """Languages that no sample has, and noise, get no language; the count of sentences is that of the text."""
     samples = spark.read.parquet(f"{DATA}/language_samples.parquet")
